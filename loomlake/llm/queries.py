@@ -5,7 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import documents
+from loomlake.llm.common import documents, held_out
+
+
+def toxicity_index(docs: DataFrame, spark: SparkSession, sf_dir: str):
+    from loomlake.llm import toxicity
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id", 5, 0))
+    return toxicity.fit(docs, labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm import toxicity
+
+    docs = documents(spark, sf_dir)
+    found = toxicity.score(docs, toxicity_index(docs, spark, sf_dir))
+    evidence = F.array_join(F.transform("evidence", lambda e: e["example"].cast("string")), ",").alias("nearest")
+    return found.select(
+        F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", "predicted", evidence
+    )
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +34,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
 }
 
