@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from loomlake.llm.common import documents, held_out
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm import secrets
+
+    found = secrets.with_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.col("secret_spans.base")
+
+    def number(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(number(k) for k in secrets.KINDS[:3]),
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"),
+        secrets.spelled(F.col("secret_spans.all")).alias("spans"),
+    )
+
+
 def toxicity_index(docs: DataFrame, spark: SparkSession, sf_dir: str):
     from loomlake.llm import toxicity
 
@@ -34,6 +51,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_secrets": op4_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
 }
