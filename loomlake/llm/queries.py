@@ -25,6 +25,21 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def byte_bpe():
+    import public_tokenizers
+
+    from loomlake.llm.bpe import ByteBpe
+
+    return ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm import bpe
+
+    own = byte_bpe()
+    return bpe.digests(bpe.encode(documents(spark, sf_dir), own), own).withColumnRenamed("id", "doc_id")
+
+
 def toxicity_index(docs: DataFrame, spark: SparkSession, sf_dir: str):
     from loomlake.llm import toxicity
 
@@ -52,6 +67,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_secrets": op4_secrets,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
 }
