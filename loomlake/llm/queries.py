@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import documents, held_out
+from loomlake.llm.common import documents, held_out, n_words
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,26 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_mix(docs: DataFrame) -> DataFrame:
+    """The documents of a mix by repeating source weights: id, key, size, bucket, copies, source_size, target."""
+    from loomlake.llm import mixing
+
+    rows = mixing.sized(docs, F.array(F.col("source").cast("string")), n_words("text"))
+    sizes = mixing.totals(rows)
+    targets = mixing.weighted_quotas(sizes)
+    mixed = mixing.mix(rows, sizes, {mixing.members_of(k)[0]: round(t) for k, t in targets.items()})
+    of_source = docs.sparkSession.createDataFrame(
+        [(k, sizes[k], float(targets[k])) for k in sizes], "key string, source_size long, target double"
+    )
+    return mixed.join(F.broadcast(of_source), "key")  # at most mixing.MAX_PATTERNS rows
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
 def byte_bpe():
     import public_tokenizers
 
@@ -67,6 +87,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_secrets": op4_secrets,
+    "op5_mixing": op5_mixing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
