@@ -245,6 +245,33 @@ def encode(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str
     return pair.mapInArrow(_encoded(bpe), "id long, ids array<int>")
 
 
+def _checked(bpe: ByteBpe, id_at: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = byte_texts(batch.column(text_at))
+            for lo, hi in blocks([len(t) for t in raw], BLOCK_BYTES):
+                part = raw[lo:hi]
+                ids, sizes = bpe.encode([t.decode() for t in part])
+                offsets = np.concatenate(([0], np.cumsum(sizes)))
+                flat, widths = bpe.decode(ids)
+                at = np.concatenate(([0], np.cumsum(widths)))[offsets]
+                back = flat.tobytes()
+                same = [back[a:b] == t for a, b, t in zip(at[:-1].tolist(), at[1:].tolist(), part)]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(id_at)[lo:hi], pa.array(sizes.astype(np.int64)), lists, pa.array(same, pa.bool_())],
+                    ["id", "n_tokens", "ids", "decodes"],
+                )
+
+    return run
+
+
+def encode_checked(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, decodes): the ids, and whether they decode to the very text."""
+    pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return pair.mapInArrow(_checked(bpe, 0, 1), "id long, n_tokens long, ids array<int>, decodes boolean")
+
+
 def _digests(bpe: ByteBpe):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

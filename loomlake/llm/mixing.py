@@ -135,10 +135,15 @@ def pattern_key(members: Column) -> Column:
     return F.to_json(F.array_sort(F.array_distinct(members)))
 
 
+def place_of(id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> Column:
+    """Hash bucket of a document: its place in the seeded order of its pattern."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - BUCKET_BITS)
+
+
 def sized(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """(id, key, size, bucket), written down: the texts are read once."""
-    bucket = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - BUCKET_BITS)
-    return stored(docs.select(F.col(id_col).cast("long").alias("id"), pattern_key(members).alias("key"), size.alias("size"), bucket.alias("bucket")), "mixing")
+    cols = (F.col(id_col).cast("long").alias("id"), pattern_key(members).alias("key"), size.alias("size"))
+    return stored(docs.select(*cols, place_of(id_col, text_col, seed).alias("bucket")), "mixing")
 
 
 def totals(rows: DataFrame) -> dict[str, int]:
@@ -153,8 +158,10 @@ def members_of(key: str) -> list[str]:
     return [json.dumps(s) for s in json.loads(key)]
 
 
-def mix(rows: DataFrame, sizes: Mapping[str, int], quotas: Mapping[str, int], copies: int = 2) -> DataFrame:
-    """rows of sized() with copies: how often the mix takes each document."""
+def draw(rows: DataFrame, sizes: Mapping[str, int], quotas: Mapping[str, int], copies: int = 2) -> DataFrame:
+    """(key, whole, cut): each pattern's copies of all its documents, and the last bucket that gets one more.
+
+    At most MAX_PATTERNS short rows, so the result may be broadcast."""
     spark = rows.sparkSession
     sent = route({k: (n, members_of(k)) for k, n in sizes.items()}, quotas, copies)
     plan = [(k, int(f // sizes[k]) if sizes[k] else 0, int(f % sizes[k]) if sizes[k] else 0) for k, f in sent.items()]
@@ -162,11 +169,17 @@ def mix(rows: DataFrame, sizes: Mapping[str, int], quotas: Mapping[str, int], co
     before = Window.partitionBy("key").orderBy("bucket")
     by_bucket = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(before))
     # a bucket is in if that brings the total nearer to the rest
-    cut = by_bucket.join(plan, "key").where("rest > 0 and 2 * upto - n <= 2 * rest").groupBy("key").agg(F.max("bucket").alias("cut"))
-    plan = plan.join(cut, "key", "left").select("key", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
-    more = F.when(F.col("bucket") <= F.col("cut"), 1).otherwise(0)
-    # at most MAX_PATTERNS rows of a key and two numbers
-    return rows.join(F.broadcast(plan), "key").select("id", "key", "size", "bucket", (F.col("whole") + more).alias("copies"))
+    near = by_bucket.join(F.broadcast(plan), "key").where("rest > 0 and 2 * upto - n <= 2 * rest")
+    cut = near.groupBy("key").agg(F.max("bucket").alias("cut"))
+    return plan.join(cut, "key", "left").select("key", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
+
+
+def with_copies(rows: DataFrame, drawn: DataFrame, key: Column, bucket: Column, out: str = "copies") -> DataFrame:
+    """rows with column out: how often the mix takes each document."""
+    drawn = drawn.select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
+    joined = rows.join(F.broadcast(drawn), key == drawn["_key"])
+    copies = drawn["_whole"] + F.when(bucket <= drawn["_cut"], 1).otherwise(0)
+    return joined.select(*(rows[f"`{c}`"] for c in rows.columns if c != out), copies.alias(out))
 
 
 def weighted_quotas(sizes: Mapping[str, int], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str, float]:

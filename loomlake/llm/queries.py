@@ -25,14 +25,22 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_mix(docs: DataFrame) -> DataFrame:
-    """The documents of a mix by repeating source weights: id, key, size, bucket, copies, source_size, target."""
+def source_plan(docs: DataFrame):
+    """Rows (id, key, size, bucket), sizes and targets by key, and what is drawn, by repeating source weights."""
     from loomlake.llm import mixing
 
     rows = mixing.sized(docs, F.array(F.col("source").cast("string")), n_words("text"))
     sizes = mixing.totals(rows)
     targets = mixing.weighted_quotas(sizes)
-    mixed = mixing.mix(rows, sizes, {mixing.members_of(k)[0]: round(t) for k, t in targets.items()})
+    return rows, sizes, targets, mixing.draw(rows, sizes, {mixing.members_of(k)[0]: round(t) for k, t in targets.items()})
+
+
+def source_mix(docs: DataFrame) -> DataFrame:
+    """id, key, size, bucket, copies, source_size and target of each document."""
+    from loomlake.llm import mixing
+
+    rows, sizes, targets, drawn = source_plan(docs)
+    mixed = mixing.with_copies(rows, drawn, F.col("key"), F.col("bucket"))
     of_source = docs.sparkSession.createDataFrame(
         [(k, sizes[k], float(targets[k])) for k in sizes], "key string, source_size long, target double"
     )

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm.common import blocks, byte_texts, discard, shuffle_partitions, stored
@@ -81,15 +81,19 @@ def _fingerprint_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = fingerprints(byte_texts(batch.column(1)), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["id", "fp", "same"])
 
     return run
 
 
+def text_hash(text: str | Column = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
-    pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_fingerprint_batches(width), "id long, fp long")
+    """(id, fp, same): the fingerprint as a signed long, and a hash of the text."""
+    pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("same"))
+    return pair.mapInArrow(_fingerprint_batches(width), "id long, fp long, same long")
 
 
 def ball_keys(fps: np.ndarray, segments: int, radius: int) -> np.ndarray:
@@ -198,16 +202,39 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, segments: int = 2
 ) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id): the smallest id reachable by links."""
+    base, named = _grouped(docs, id_col, text_col, width, radius, segments)
+    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    of_fp = named.join(least, "part").select(F.col("fp").alias("of"), "component_id")
+    return base.join(of_fp, base.fp == of_fp.of).select(
+        "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, segments: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprinted rows, and (fp, least id, first row, part): the component of each distinct fingerprint."""
     base = stored(with_fingerprint(docs, id_col, text_col, width), "simhash")
-    by_fp = base.groupBy("fp").agg(F.min("id").alias("least"))
+    # nulls last: a row with an id comes before one without
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "same")).alias("first")
+    by_fp = base.groupBy("fp").agg(F.min("id").alias("least"), first)
     links = stored(fingerprint_links(base, radius, segments), "simhash-links")
     label = connected(links)
     discard(links)
     named = by_fp.join(label, by_fp.fp == label.node, "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("part")
-    )
-    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(least, "part").select(F.col("fp").alias("of"), "component_id")
-    return base.join(of_fp, base.fp == of_fp.of).select(
-        "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "fp", "least", "first", F.coalesce("label", "fp").alias("part")
     )
+    return base, named
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, segments: int = 2
+) -> DataFrame:
+    """One row of docs for each group: that of the smallest id (of those with it, of the smallest text hash)."""
+    base, named = _grouped(docs, id_col, text_col, width, radius, segments)
+    kept = named.groupBy("part").agg(F.min("first").alias("first")).select("first.id", "first.same")
+    kept = stored(kept, "simhash-kept")
+    repeats = base.join(kept, base.id.eqNullSafe(kept.id) & (base.same == kept.same), "left_semi")
+    repeats = repeats.groupBy("id", "same").count().where("count > 1").limit(1).count()
+    wanted = kept.select(F.col("id").alias("_id"), F.col("same").alias("_same")).hint("shuffle_hash")
+    mine = docs[id_col].cast("long").eqNullSafe(wanted["_id"]) & (text_hash(docs[text_col]) == wanted["_same"])
+    out = docs.join(wanted, mine, "left_semi")
+    return out.dropDuplicates([id_col, text_col]) if repeats else out

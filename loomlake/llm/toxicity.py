@@ -292,3 +292,17 @@ def score(docs: DataFrame, index: Nearest, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples and max_terms
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return pair.mapInArrow(_scores(sent), SCORED)
+
+
+def keep_clean(docs: DataFrame, index: Nearest, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores below least."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t)[0] < least for t in byte_texts(batch.column(at))], pa.bool_()))
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots would not resolve
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
