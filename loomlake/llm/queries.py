@@ -53,6 +53,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomlake.llm import huffman
+
+    coded, book = huffman.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return huffman.read(coded, book, with_tokens=False).withColumnRenamed("id", "doc_id")
+
+
 def byte_bpe():
     import public_tokenizers
 
@@ -96,6 +105,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
+    "op6_huffman": op6_huffman,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
