@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from loomlake.llm.common import documents, held_out, n_words
 
 
+def op1_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm import lm
+
+    scored, totals = lm.score(documents(spark, sf_dir), ~held_out("doc_id", 7, 2))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        held_out("id", 7, 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(totals["tokens"]).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import secrets
 
@@ -103,6 +118,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_backoff_lm": op1_backoff_lm,
     "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
     "op6_huffman": op6_huffman,
