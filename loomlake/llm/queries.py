@@ -23,6 +23,15 @@ def op1_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm import rules
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    found, _ = rules.judged(documents(spark, sf_dir), labels)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "rule")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import secrets
 
@@ -119,6 +128,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_backoff_lm": op1_backoff_lm,
+    "op2_quality_rules": op2_quality_rules,
     "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
     "op6_huffman": op6_huffman,
