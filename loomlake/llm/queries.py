@@ -32,6 +32,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "rule")
 
 
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm import flac
+
+    return flac.digests(flac.encode(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import secrets
 
@@ -129,6 +135,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_backoff_lm": op1_backoff_lm,
     "op2_quality_rules": op2_quality_rules,
+    "op3_flac": op3_flac,
     "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
     "op6_huffman": op6_huffman,
