@@ -132,6 +132,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm import pii
+
+    docs = documents(spark, sf_dir)
+    found = pii.scan(docs, pii.fit(docs))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def spelled(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(number(k) for k in pii.KINDS),
+        F.sha2(spelled("base"), 256).alias("base_sha256"),
+        spelled("spans").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_backoff_lm": op1_backoff_lm,
     "op2_quality_rules": op2_quality_rules,
@@ -142,6 +162,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
