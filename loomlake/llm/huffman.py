@@ -14,6 +14,8 @@ order of their ids' bytes; an empty table gives no rows; other columns are not r
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,10 +33,26 @@ STEP = 256
 BLOCK_IDS = 1 << 18
 CACHED_WORDS = 1_000_000
 END = 1
+#: Words whose normal form and pieces need no library: ASCII and the letters of Latin-1, all composed.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+# Fixed value: the tokenizer's splitting pattern, on lower-cased plain words.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
 CODED = "file int, block int, first long, ids array<long>, counts array<int>, bits binary, marks binary, crc long"
 
 
+class Numbered(dict):
+    """Words to numbers; an unknown word gets the next one and waits in new."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordTokenizer:
     """Encoder of a tokenizers file that drops white space: each distinct word goes to the library once.
 
@@ -42,7 +60,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.path = path
-        self.words: dict[bytes, int] | None = None
+        self.words: Numbered | None = None
 
     def __reduce__(self):
         return _tokenizer, (self.path,)
@@ -55,20 +73,39 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(self.path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.library.model
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.symbols = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
         self._clear()
 
     def _clear(self) -> None:
-        self.words = {}
+        self.words = Numbered()
+        self.pieces: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint16)
         self.starts = np.empty(1 << 14, np.int64)
         self.sizes = np.empty(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, new: list[bytes]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of one piece by the library's model, its bytes spelled as the vocabulary spells them."""
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+        ids = self.pieces[piece] = [t.id for t in self.model.tokenize(spelled)]
+        return ids
+
+    def _word_ids(self, new: list[bytes]) -> list[list[int]]:
+        """Plain words go to the model piece by piece, others to the whole library."""
+        texts = [w.decode() for w in new]
+        odd = [t for t in texts if not PLAIN(t)]
+        whole = dict(zip(odd, (e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False))))
+        get, make = self.pieces.get, self._piece
+        return [whole[t] if t in whole else [i for p in PIECES(t.lower()) for i in get(p) or make(p)] for t in texts]
+
+    def _learn(self) -> None:
+        new, self.words.new = self.words.new, []
+        found = self._word_ids(new)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.array([i for f in found for i in f], np.uint16)
-        n, used = len(self.words), self.used
+        n, used = len(self.words) - len(new), self.used
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         while n + len(new) > len(self.starts):
@@ -78,7 +115,6 @@ class WordTokenizer:
         self.sizes[n : n + len(new)] = sizes
         self.starts[n : n + len(new)] = used + np.cumsum(sizes) - sizes
         self.used = used + len(ids)
-        self.words.update(zip(new, range(n, n + len(new))))
 
     def encode(self, texts: list[bytes], end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by the end id, and the number of each text."""
@@ -86,13 +122,16 @@ class WordTokenizer:
             self._start()
         if len(self.words) > CACHED_WORDS:
             self._clear()
-        split = [t.split() for t in texts]
-        known = self.words
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self._learn(list(new))
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((known[w] for words in split for w in words), np.int64, int(per_text.sum()))
+        number, seen = self.words.__getitem__, []
+        per_text = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            # letters that combine with a mark of U+0300 to U+037F may compose in one case only: those texts keep theirs
+            words = (t if b"\xcc" in t or b"\xcd" in t else t.lower()).split()
+            per_text[i] = len(words)
+            seen += map(number, words)
+        if self.words.new:
+            self._learn()
+        at = np.array(seen, np.int64)
         starts, sizes = self.starts[at], self.sizes[at]
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(per_text)]
         counts = np.diff(ends, prepend=0)
@@ -109,6 +148,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 def _encoded(tokenizer: WordTokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the cache holds a million live lists, and nothing here makes cycles
         for batch in batches:
             raw = byte_texts(batch.column(1))
             for lo, hi in blocks([len(t) for t in raw], 8 << 20):

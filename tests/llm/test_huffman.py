@@ -80,3 +80,10 @@ def test_odd_rows(spark):
     assert np.frombuffer(got[-1].tokens, "<u4").tolist() == plain("long " * 3000)
     coded, book = huffman.write(docs.limit(0), PATH)
     assert huffman.read(coded, book).collect() == []
+
+
+def test_plain_words_and_odd_words():
+    words = ["Straße's", "ÀÉÎ-ß,ÿ", "don't", "ßß1a2", "x²y", "İstanbul", "H̱a", "Ǆz", "a b", "<|endoftext|>", "100%,", "...'d!!", "ΣΑΣ", "\x1c\x7f", "Çé"]
+    texts = [" ".join(words), *words, *(w.upper() for w in words), *(w.lower() for w in words)]
+    ids, _ = huffman._tokenizer(PATH).encode([t.encode() for t in texts])
+    assert ids.tolist() == [i for t in texts for i in plain(t)]
