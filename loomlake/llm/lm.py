@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomlake.llm.common import byte_texts, shuffle_partitions, stored
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: Weight of the lower order in each state, in counts.
 BACKOFF = 50.0
 ASKED = "range int, block long, words binary, word_counts binary, pairs binary, pair_counts binary, tokens long, texts long, check long"
@@ -72,15 +72,20 @@ def block_of(texts: list[bytes], train: np.ndarray) -> Block:
         sizes[i] = len(words) + 1
         seen += [add(w, len(number)) for w in words]
         seen.append(0)
-    tokens = np.array(seen, np.int64)
+    tokens = np.array(seen, np.int32)
     del seen
     starts = np.cumsum(sizes) - sizes
     n = len(number)
-    before = np.empty_like(tokens)
+    before = np.empty(len(tokens), np.int64)
     before[1:] = tokens[:-1] + 1
     before[starts] = 0
     in_train = np.repeat(train, sizes)
-    marked = np.sort((before * n + tokens) * 2 + in_train)
+    before *= n
+    before += tokens
+    before *= 2
+    before += in_train
+    before.sort()
+    marked = before
     new = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
     pairs = marked[new] >> 1
     pair_train = np.add.reduceat(marked & 1, new) if len(new) else new
