@@ -1,16 +1,79 @@
-"""All queries of the memory data plane with their SQL twins."""
+"""All queries of the memory data plane: each is a function of tables, with an SQL twin over the same tables.
+
+A stand-in table is one SELECT over the driver's tables that both SQL dialects read; @sec(x) and @ms(x) are a
+timestamp's epoch seconds and milliseconds. Queries take tables or stand-ins by name.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+STAND_INS: dict[str, str] = {}
+
+
+def stand_in(name: str, sql: str) -> None:
+    STAND_INS[name] = sql
+
+
+def _spark_sql(sql: str) -> str:
+    sql = re.sub(r"@sec\((\w+)\)", r"unix_seconds(cast(\1 as timestamp))", sql)
+    return re.sub(r"@ms\((\w+)\)", r"unix_millis(cast(\1 as timestamp))", sql)
+
+
+def _plain_sql(sql: str) -> str:
+    sql = re.sub(r"@sec\((\w+)\)", r"cast(floor(epoch(\1)) as bigint)", sql)
+    sql = re.sub(r"@ms\((\w+)\)", r"epoch_ms(\1)", sql)
+    return re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
-def register(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table or a stand-in, as a lazy plan: filters and column choice still reach the scan."""
+    if name not in STAND_INS:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    sql = STAND_INS[name]
+    used = {n: load(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))}
+    return spark.sql(_spark_sql(sql), **used)
+
+
+def _needs(names: Sequence[str], found: dict[str, str] | None = None) -> dict[str, str]:
+    found = {} if found is None else found
+    for n in names:
+        if n in STAND_INS and n not in found:
+            _needs(re.findall(r"\{(\w+)\}", STAND_INS[n]), found)
+            found[n] = _plain_sql(STAND_INS[n])
+    return found
+
+
+def twin(inputs: Sequence[str], sql: str) -> str:
+    """The whole oracle text: stand-ins as common table expressions before the query."""
+    sql = _plain_sql(sql.strip())
+    parts = [f"{n} AS ({s})" for n, s in _needs(inputs).items()]
+    recursive = ""
+    if m := re.match(r"with\s+(recursive\s+)?", sql, re.I):
+        recursive, sql = m[1] or "", sql[m.end() :]
+        return f"WITH {recursive}{', '.join([*parts, sql])}"
+    return (f"WITH {', '.join(parts)} " if parts else "") + sql
+
+
+def query(name: str, inputs: Sequence[str], sql: str | None = None):
+    """Registers f(*tables) under name."""
+
+    def keep(f: Callable[..., DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"{name} twice")
+        QUERIES[name] = lambda spark, sf_dir: f(*(load(spark, sf_dir, i) for i in inputs))
         if sql is not None:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = twin(inputs, sql)
         return f
 
     return keep
+
+
+def all_loaded() -> None:
+    """Imports the modules that register queries."""
+    from loomlake.plans import stand_ins, usage  # noqa: F401
