@@ -76,4 +76,4 @@ def query(name: str, inputs: Sequence[str], sql: str | None = None):
 
 def all_loaded() -> None:
     """Imports the modules that register queries."""
-    from loomlake.plans import stand_ins, usage  # noqa: F401
+    from loomlake.plans import stand_ins, stores, usage  # noqa: F401
