@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+TWINS: dict[str, tuple[Sequence[str], str]] = {}
 STAND_INS: dict[str, str] = {}
 
 
@@ -68,12 +68,16 @@ def query(name: str, inputs: Sequence[str], sql: str | None = None):
             raise ValueError(f"{name} twice")
         QUERIES[name] = lambda spark, sf_dir: f(*(load(spark, sf_dir, i) for i in inputs))
         if sql is not None:
-            ORACLE_SQL[name] = twin(inputs, sql)
+            TWINS[name] = (inputs, sql)
         return f
 
     return keep
 
 
+def oracle_sql() -> dict[str, str]:
+    return {name: twin(*t) for name, t in TWINS.items()}
+
+
 def all_loaded() -> None:
     """Imports the modules that register queries."""
-    from loomlake.plans import stand_ins, stores, usage  # noqa: F401
+    from loomlake.plans import joins, people, stand_ins, stores, usage  # noqa: F401
