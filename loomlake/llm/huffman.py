@@ -15,12 +15,14 @@ order of their ids' bytes; an empty table gives no rows; other columns are not r
 from __future__ import annotations
 
 import gc
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from loomlake.llm.common import blocks, byte_texts, discard, shuffle_partitions,
 MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 18
-CACHED_WORDS = 1_000_000
+CACHED_PIECES = 600_000
 END = 1
 #: Words whose normal form and pieces need no library: ASCII and the letters of Latin-1, all composed.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
@@ -41,26 +43,14 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 CODED = "file int, block int, first long, ids array<long>, counts array<int>, bits binary, marks binary, crc long"
 
 
-class Numbered(dict):
-    """Words to numbers; an unknown word gets the next one and waits in new."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
 class WordTokenizer:
-    """Encoder of a tokenizers file that drops white space: each distinct word goes to the library once.
+    """Encoder of a tokenizers file that drops white space: each distinct word of a block goes to the library once.
 
     Valid only for tokenizers that treat white space as a mere separator, so that words don't affect each other."""
 
     def __init__(self, path: str):
         self.path = path
-        self.words: Numbered | None = None
+        self.pieces: dict[str, list[int]] | None = None
 
     def __reduce__(self):
         return _tokenizer, (self.path,)
@@ -76,15 +66,7 @@ class WordTokenizer:
         self.model = self.library.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.symbols = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words = Numbered()
-        self.pieces: dict[str, list[int]] = {}
-        self.flat = np.empty(1 << 16, np.uint16)
-        self.starts = np.empty(1 << 14, np.int64)
-        self.sizes = np.empty(1 << 14, np.int64)
-        self.used = 0
+        self.pieces = {}
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one piece by the library's model, its bytes spelled as the vocabulary spells them."""
@@ -92,50 +74,35 @@ class WordTokenizer:
         ids = self.pieces[piece] = [t.id for t in self.model.tokenize(spelled)]
         return ids
 
-    def _word_ids(self, new: list[bytes]) -> list[list[int]]:
+    def _word_ids(self, words: list[str]) -> list[list[int]]:
         """Plain words go to the model piece by piece, others to the whole library."""
-        texts = [w.decode() for w in new]
-        odd = [t for t in texts if not PLAIN(t)]
+        if self.pieces is None:
+            self._start()
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
+        odd = [t for t in words if not PLAIN(t)]
         whole = dict(zip(odd, (e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False))))
         get, make = self.pieces.get, self._piece
-        return [whole[t] if t in whole else [i for p in PIECES(t.lower()) for i in get(p) or make(p)] for t in texts]
-
-    def _learn(self) -> None:
-        new, self.words.new = self.words.new, []
-        found = self._word_ids(new)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.array([i for f in found for i in f], np.uint16)
-        n, used = len(self.words) - len(new), self.used
-        while used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while n + len(new) > len(self.starts):
-            self.starts = np.concatenate((self.starts, np.empty_like(self.starts)))
-            self.sizes = np.concatenate((self.sizes, np.empty_like(self.sizes)))
-        self.flat[used : used + len(ids)] = ids
-        self.sizes[n : n + len(new)] = sizes
-        self.starts[n : n + len(new)] = used + np.cumsum(sizes) - sizes
-        self.used = used + len(ids)
-
-    def encode(self, texts: list[bytes], end: int = END) -> tuple[np.ndarray, np.ndarray]:
+        return [whole[t] if t in whole else [i for p in PIECES(t.lower()) for i in get(p) or make(p)] for t in words]
+
+    def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by the end id, and the number of each text."""
-        if self.words is None:
-            self._start()
-        if len(self.words) > CACHED_WORDS:
-            self._clear()
-        number, seen = self.words.__getitem__, []
-        per_text = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            # letters that combine with a mark of U+0300 to U+037F may compose in one case only: those texts keep theirs
-            words = (t if b"\xcc" in t or b"\xcd" in t else t.lower()).split()
-            per_text[i] = len(words)
-            seen += map(number, words)
-        if self.words.new:
-            self._learn()
-        at = np.array(seen, np.int64)
-        starts, sizes = self.starts[at], self.sizes[at]
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(per_text)]
+        # a copy without an offset: lower-casing a slice can go wrong
+        texts = texts.take(pa.array(np.arange(len(texts)))).fill_null("")
+        # letters that combine with a mark of U+0300 to U+037F may compose in one case only: then all keep their case
+        if not pc.any(pc.match_substring_regex(texts, "[\u0300-\u037f]")).as_py():
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        found = self._word_ids(words.dictionary.to_pylist())
+        own = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(own.sum()))
+        at = words.indices.to_numpy(zero_copy_only=False)
+        sizes = own[at]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(np.diff(split.offsets.to_numpy()))]
         counts = np.diff(ends, prepend=0)
-        ids = np.insert(gather(self.flat, starts, sizes), ends, end) if len(ends) else np.empty(0, np.uint16)
+        starts = (np.cumsum(own) - own)[at]
+        ids = np.insert(gather(flat, starts, sizes), ends, end) if len(ends) else np.empty(0, np.uint16)
         return ids, counts + 1
 
 
@@ -148,11 +115,11 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 def _encoded(tokenizer: WordTokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the cache holds a million live lists, and nothing here makes cycles
+        gc.disable()  # the cache holds many live lists, and nothing here makes cycles
         for batch in batches:
-            raw = byte_texts(batch.column(1))
-            for lo, hi in blocks([len(t) for t in raw], 8 << 20):
-                ids, counts = tokenizer.encode(raw[lo:hi])
+            texts = batch.column(1)
+            for lo, hi in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 12 << 20):
+                ids, counts = tokenizer.encode(texts[lo:hi])
                 at = np.concatenate(([0], np.cumsum(counts))) * 2
                 data = ids.astype("<u2").tobytes()
                 rows = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -321,7 +288,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     return coded, book
 
 
-def _decoded(book: Codebook):
+def _decoded(book: Codebook, with_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -340,7 +307,7 @@ def _decoded(book: Codebook):
                         pa.array(r["first"] + ends - counts),
                         pa.array(counts),
                         pa.array([zlib.crc32(x) for x in rows], pa.int64()),
-                        pa.array([bytes(x) for x in rows], pa.binary()),
+                        pa.array([bytes(x) if with_tokens else None for x in rows], pa.binary()),
                     ],
                     ["file", "id", "place", "n_tokens", "ids_crc32", "tokens"],
                 )
@@ -357,7 +324,7 @@ def read(coded: DataFrame, book: Codebook, with_tokens: bool = True) -> DataFram
         before.append((r.file, total))
         total += r.n
     base = spark.createDataFrame(before, "file int, base long")
-    rows = coded.mapInArrow(_decoded(book), "file int, id long, place long, n_tokens long, ids_crc32 long, tokens binary")
+    rows = coded.mapInArrow(_decoded(book, with_tokens), "file int, id long, place long, n_tokens long, ids_crc32 long, tokens binary")
     out = rows.join(F.broadcast(base), "file")  # as many rows as files
     kept = ["id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"]
     return out.select(*kept, *(["tokens"] if with_tokens else []))

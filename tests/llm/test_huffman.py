@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,7 +27,7 @@ def plain(text):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(exclude_categories=("Cs",)), max_size=40), max_size=5))
 def test_words_alone_give_the_ids_of_whole_texts(texts):
-    ids, counts = huffman._tokenizer(PATH).encode([t.encode() for t in texts])
+    ids, counts = huffman._tokenizer(PATH).encode(pa.array(texts, pa.string()))
     assert ids.tolist() == [i for t in texts for i in plain(t)]
     assert counts.tolist() == [len(plain(t)) for t in texts]
 
@@ -85,5 +86,5 @@ def test_odd_rows(spark):
 def test_plain_words_and_odd_words():
     words = ["Straße's", "ÀÉÎ-ß,ÿ", "don't", "ßß1a2", "x²y", "İstanbul", "H̱a", "Ǆz", "a b", "<|endoftext|>", "100%,", "...'d!!", "ΣΑΣ", "\x1c\x7f", "Çé"]
     texts = [" ".join(words), *words, *(w.upper() for w in words), *(w.lower() for w in words)]
-    ids, _ = huffman._tokenizer(PATH).encode([t.encode() for t in texts])
+    ids, _ = huffman._tokenizer(PATH).encode(pa.array(texts, pa.string()))
     assert ids.tolist() == [i for t in texts for i in plain(t)]
