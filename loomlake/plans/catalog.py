@@ -28,7 +28,7 @@ def _spark_sql(sql: str) -> str:
 def _plain_sql(sql: str) -> str:
     sql = re.sub(r"@sec\((\w+)\)", r"cast(floor(epoch(\1)) as bigint)", sql)
     sql = re.sub(r"@ms\((\w+)\)", r"epoch_ms(\1)", sql)
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(r"\{([a-z]\w*)\}", r"\1", sql)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in STAND_INS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = STAND_INS[name]
-    used = {n: load(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))}
+    used = {n: load(spark, sf_dir, n) for n in set(re.findall(r"\{([a-z]\w*)\}", sql))}
     return spark.sql(_spark_sql(sql), **used)
 
 
@@ -44,7 +44,7 @@ def _needs(names: Sequence[str], found: dict[str, str] | None = None) -> dict[st
     found = {} if found is None else found
     for n in names:
         if n in STAND_INS and n not in found:
-            _needs(re.findall(r"\{(\w+)\}", STAND_INS[n]), found)
+            _needs(re.findall(r"\{([a-z]\w*)\}", STAND_INS[n]), found)
             found[n] = _plain_sql(STAND_INS[n])
     return found
 
@@ -80,4 +80,4 @@ def oracle_sql() -> dict[str, str]:
 
 def all_loaded() -> None:
     """Imports the modules that register queries."""
-    from loomlake.plans import joins, people, stand_ins, stores, usage  # noqa: F401
+    from loomlake.plans import joins, people, ranking, stand_ins, stores, texts, usage  # noqa: F401
