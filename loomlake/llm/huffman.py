@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import gc
 import itertools
-import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -35,14 +35,25 @@ STEP = 256
 BLOCK_IDS = 1 << 18
 CACHED_PIECES = 600_000
 END = 1
-#: Words whose normal form and pieces need no library: ASCII and the letters of Latin-1, all composed.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
-# Fixed value: the tokenizer's splitting pattern, on lower-cased plain words.
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: Lower-case letters of ASCII and Latin-1, all composed: a run of them is one piece for the tokenizer.
+LETTERS = "a-zß-öø-ÿ"
+ALPHABET = "".join(c for c in map(chr, range(97, 256)) if c.isalpha() and c.islower() and c not in "ªµº")
 
 CODED = "file int, block int, first long, ids array<long>, counts array<int>, bits binary, marks binary, crc long"
 
 
+class Numbered(dict):
+    """Pieces to numbers; an unknown one gets the next number and waits in new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class WordTokenizer:
     """Encoder of a tokenizers file that drops white space: each distinct word of a block goes to the library once.
 
@@ -50,7 +61,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.path = path
-        self.pieces: dict[str, list[int]] | None = None
+        self.pieces: Numbered | None = None
 
     def __reduce__(self):
         return _tokenizer, (self.path,)
@@ -66,24 +77,57 @@ class WordTokenizer:
         self.model = self.library.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.symbols = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
-        self.pieces = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of one piece by the library's model, its bytes spelled as the vocabulary spells them."""
-        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
-        ids = self.pieces[piece] = [t.id for t in self.model.tokenize(spelled)]
-        return ids
-
-    def _word_ids(self, words: list[str]) -> list[list[int]]:
-        """Plain words go to the model piece by piece, others to the whole library."""
+        self._clear()
+
+    def _clear(self) -> None:
+        self.pieces = Numbered()
+        self.flat, self.used = np.empty(1 << 16, np.uint16), 0
+        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of pieces whose ids the cache holds; new ones go to the library's model, their bytes spelled as the
+        vocabulary spells them."""
+        at = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        new, self.pieces.new = self.pieces.new, []
+        spelled = (p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols) for p in new)
+        found = [[t.id for t in self.model.tokenize(p)] if p else [] for p in spelled]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        n, used, more = len(self.pieces) - len(new), self.used, int(sizes.sum())
+        while used + more > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while n + len(new) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x, np.empty_like(x))) for x in (self.starts, self.sizes))
+        self.flat[used : used + more] = np.fromiter(itertools.chain.from_iterable(found), np.uint16, more)
+        self.sizes[n : n + len(new)] = sizes
+        self.starts[n : n + len(new)] = used + np.cumsum(sizes) - sizes
+        self.used = used + more
+        return at
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, and the start and number of each word's.
+
+        Letters and a tail of punctuation are two pieces, each looked up; other words go to the whole library."""
         if self.pieces is None:
             self._start()
         if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
-        odd = [t for t in words if not PLAIN(t)]
-        whole = dict(zip(odd, (e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False))))
-        get, make = self.pieces.get, self._piece
-        return [whole[t] if t in whole else [i for p in PIECES(t.lower()) for i in get(p) or make(p)] for t in words]
+            self._clear()
+        core = pc.utf8_rtrim(words, characters=string.punctuation)
+        plain = pc.match_substring_regex(core, f"^[{LETTERS}]+$")
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        tails = pc.utf8_ltrim(words.filter(plain), characters=ALPHABET).dictionary_encode()
+        runs = np.stack((self._numbers(core.filter(plain).to_pylist()), self._numbers(tails.dictionary.to_pylist())[tails.indices.to_numpy(zero_copy_only=False)]), axis=1)
+        odd = words.filter(pc.invert(plain)).to_pylist()
+        whole = [e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False)]
+        odd_sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        odd_flat = np.fromiter(itertools.chain.from_iterable(whole), np.uint16, int(odd_sizes.sum()))
+        sizes, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        two = self.sizes[runs]
+        sizes[is_plain] = two.sum(axis=1)
+        sizes[~is_plain] = odd_sizes
+        plain_sizes = sizes[is_plain]
+        starts[is_plain] = np.cumsum(plain_sizes) - plain_sizes
+        starts[~is_plain] = int(plain_sizes.sum()) + np.cumsum(odd_sizes) - odd_sizes
+        return np.concatenate((gather(self.flat, self.starts[runs].ravel(), two.ravel()), odd_flat)), starts, sizes
 
     def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by the end id, and the number of each text."""
@@ -94,15 +138,12 @@ class WordTokenizer:
             texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        found = self._word_ids(words.dictionary.to_pylist())
-        own = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(own.sum()))
+        flat, first, own = self._word_ids(words.dictionary)
         at = words.indices.to_numpy(zero_copy_only=False)
         sizes = own[at]
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(np.diff(split.offsets.to_numpy()))]
         counts = np.diff(ends, prepend=0)
-        starts = (np.cumsum(own) - own)[at]
-        ids = np.insert(gather(flat, starts, sizes), ends, end) if len(ends) else np.empty(0, np.uint16)
+        ids = np.insert(gather(flat, first[at], sizes), ends, end) if len(ends) else np.empty(0, np.uint16)
         return ids, counts + 1
 
 
@@ -123,21 +164,29 @@ def _encoded(tokenizer: WordTokenizer):
                 at = np.concatenate(([0], np.cumsum(counts))) * 2
                 data = ids.astype("<u2").tobytes()
                 rows = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(rows, pa.binary())], ["id", "tokens"])
+                counts = np.bincount(ids, minlength=1 << 16)
+                some = np.flatnonzero(counts)
+                hist = [some.astype("<u2").tobytes() + counts[some].astype("<u4").tobytes(), *[None] * (len(rows) - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi], pa.array(rows, pa.binary()), pa.array(hist, pa.binary())], ["id", "tokens", "hist"]
+                )
 
     return run
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens): little-endian 16-bit ids of each text and the end id."""
+    """(id, tokens, hist): little-endian 16-bit ids of each text and the end id; one row a block also has the counts
+    of the block's ids (ids, then counts as 32-bit numbers)."""
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_encoded(WordTokenizer(path)), "id long, tokens binary")
+    return pair.mapInArrow(_encoded(WordTokenizer(path)), "id long, tokens binary, hist binary")
 
 
 def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        counts += np.bincount(np.frombuffer(b"".join(byte_texts(batch.column(0))), "<u2"), minlength=1 << 16)
+        for hist in byte_texts(batch.column(0)):
+            n = len(hist) // 6
+            counts[np.frombuffer(hist, "<u2", n)] += np.frombuffer(hist, "<u4", n, 2 * n)
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["token", "n"])
 
@@ -277,12 +326,12 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """The block files of all documents in ascending order of id, as a table of blocks, and their code."""
     spark = docs.sparkSession
     flat = stored(tokenized(docs, path, id_col, text_col), "huffman-ids")
-    counts = flat.select("tokens").mapInArrow(_id_counts, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = flat.where("hist is not null").select("hist").mapInArrow(_id_counts, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     table = np.zeros(1 << 16, np.int64)
     for r in counts.collect():  # at most the tokenizer's vocabulary
         table[r.token] = r.n
     book = Codebook(code_lengths(table))
-    dealt = flat.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "tokens")
+    dealt = flat.select("id", "tokens").repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "tokens")
     coded = stored(dealt.mapInArrow(_blocks_of(book, block_ids), CODED), "huffman-blocks")
     discard(flat)
     return coded, book
