@@ -26,3 +26,23 @@ def local_session(app: str = "loomlake", cores: str | int = 8, partitions: int =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; only a local session without the setting gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    import tempfile
+
+    made = tempfile.mkdtemp(prefix="loomlake-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
