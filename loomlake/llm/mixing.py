@@ -26,6 +26,7 @@ from loomlake.llm.common import stored
 
 MAX_PATTERNS = 200_000
 BUCKET_BITS = 16
+STRETCH = 256
 
 
 def shared_targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = 2.0) -> list[float]:
@@ -166,8 +167,15 @@ def draw(rows: DataFrame, sizes: Mapping[str, int], quotas: Mapping[str, int], c
     sent = route({k: (n, members_of(k)) for k, n in sizes.items()}, quotas, copies)
     plan = [(k, int(f // sizes[k]) if sizes[k] else 0, int(f % sizes[k]) if sizes[k] else 0) for k, f in sent.items()]
     plan = spark.createDataFrame(plan, "key string, whole int, rest long")
-    before = Window.partitionBy("key").orderBy("bucket")
-    by_bucket = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(before))
+    # running totals in two levels: a hot pattern's buckets are spread over its stretches of STRETCH buckets
+    stretch = F.floor(F.col("bucket") / STRETCH).alias("stretch")
+    by_bucket = rows.groupBy("key", stretch, "bucket").agg(F.sum("size").alias("n"))
+    whole = rows.groupBy("key", stretch).agg(F.sum("size").alias("m"))
+    earlier = Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("key", "stretch", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("key", "stretch").orderBy("bucket")
+    by_bucket = by_bucket.withColumn("within", F.sum("n").over(inside)).join(whole, ["key", "stretch"])
+    by_bucket = by_bucket.select("key", "bucket", "n", (F.col("base") + F.col("within")).alias("upto"))
     # a bucket is in if that brings the total nearer to the rest
     near = by_bucket.join(F.broadcast(plan), "key").where("rest > 0 and 2 * upto - n <= 2 * rest")
     cut = near.groupBy("key").agg(F.max("bucket").alias("cut"))
