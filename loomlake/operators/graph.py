@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from loomlake.session import written
+
 
 def co_occurring(index: DataFrame, subject: str, limit: int = 100) -> DataFrame:
     """Entities that share most nodes with the subject; ties by id."""
@@ -32,12 +34,16 @@ def by_weight(neighbours: DataFrame) -> DataFrame:
 def bounded_walk(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth): nodes reached within depth steps, each at its least depth; edges are (parent, child).
 
-    One join a level; nodes seen before leave the frontier, so cycles end."""
-    seen = roots.select(F.col("root"), F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0))
+    One join a level; nodes seen before leave the frontier, so cycles end. Each level is written down: a level's plan
+    would else hold all those before it twice."""
+    seen = written(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "walk")
     frontier = seen
     for level in range(1, depth + 1):
         step = frontier.join(edges, frontier.node == edges.parent).select("root", F.col("child").alias("node")).distinct()
-        frontier = step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(level))
+        fresh = step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(level))
+        frontier = written(fresh, "walk")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -104,7 +104,7 @@ def f_chunk_md(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(chunk_markdown(225)("text")).alias("c")).select("doc_id", "c.index", "c.heading", F.octet_length("c.content").alias("bytes"), F.md5("c.content").alias("h"))
 
 
-@query("f_email_clean", ["mails"], "select doc_id, md5(trim(regexp_replace(regexp_replace(split_part(body, chr(10) || 'On Monday', 1), '[ \\t\\r\\x0B\\f]+(\\n|$)', '\\1', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'))) as h from mails")
+@query("f_email_clean", ["mails"], "select doc_id, md5(trim(regexp_replace(regexp_replace(split_part(body, chr(10) || 'On Monday', 1), '[ \\t\\r\\x0B\\f]+(\\n|$)', '\\1', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(10))) as h from mails")
 def f_email_clean(mails: DataFrame) -> DataFrame:
     from loomlake.functions.pandas_text import clean_email
 
