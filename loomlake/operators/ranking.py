@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from loomlake.functions.scalars import with_one
+
 
 def rolling_shift(turns: DataFrame, size: int = 15, limits: Sequence[tuple[float, str]] = ((0.3, "terse"), (0.5, "short"), (0.8, "brief"))) -> DataFrame:
     """First turn at which the mean length ratio of the last turns falls below a limit of the ones before."""
@@ -60,4 +62,4 @@ def experience_rank(rows: DataFrame, tools: Sequence[str], tags: Sequence[str],
 def response(hits: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """First hits with the number of all and whether some are left out; the count is its own aggregation, no global window."""
     total = hits.agg(F.count("*").alias("total"))  # one row
-    return hits.orderBy(*order).limit(n).join(F.broadcast(total)).withColumn("truncated", F.col("total") > n)
+    return hits.orderBy(*order).limit(n).transform(with_one, total).withColumn("truncated", F.col("total") > n)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.functions.scalars import with_one
 from loomlake.functions import vectors
 
 K1, B = 1.2, 0.75
@@ -44,7 +45,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], all_terms:
         idf = F.log(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
         tf = F.col(f"t{i}")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return rows.where(keep).join(F.broadcast(stats)).select(key, F.round(score, 6).alias("score"))
+    return rows.where(keep).transform(with_one, stats).select(key, F.round(score, 6).alias("score"))
 
 
 def vec_search(rows: DataFrame, query: Sequence[float], k: int, floor: float | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from loomlake.functions.scalars import with_one
+
 
 def last_day(usage: DataFrame) -> DataFrame:
     """One row with the latest day."""
@@ -35,7 +37,7 @@ def daily_history(usage: DataFrame, days: int) -> DataFrame:
 
 def dashboard(usage: DataFrame, monthly_limit: float, warn: float) -> DataFrame:
     """Week total, average, 30-day pace, month to date, clamped utilisation and status."""
-    dated = usage.join(F.broadcast(last_day(usage)))  # one row
+    dated = usage.transform(with_one, last_day(usage))  # one row
     month = F.trunc("day", "month") == F.trunc("last_day", "month")
     sums = dated.agg(
         F.round(F.coalesce(F.sum(F.when(F.col("day") > F.date_sub("last_day", 7), F.col("cost_usd"))), F.lit(0.0)), 4).alias("week_total"),
@@ -60,7 +62,7 @@ def by_model(usage: DataFrame) -> DataFrame:
     )
     whole = sums.agg(F.sum("c").alias("total"))  # one row
     percent = F.when(F.col("total") == 0, 0.0).otherwise(100 * F.col("c") / F.col("total"))
-    return sums.join(F.broadcast(whole)).select(
+    return sums.transform(with_one, whole).select(
         "model", F.split_part("model", F.lit("/"), F.lit(1)).alias("provider"), F.round("c", 4).alias("cost"), "total_tokens", "requests", F.round(percent, 4).alias("percent")
     )
 
@@ -107,4 +109,4 @@ def age_buckets(usage: DataFrame) -> DataFrame:
     age = F.date_diff("last_day", "day")
     bucket = F.when(age == 0, "TODAY").when(age == 1, "YESTERDAY").when(age < 7, "THIS WEEK").otherwise("OLDER")
     # days are aggregated first, so the one-row side meets few rows
-    return usage.groupBy("day").agg(F.count("*").alias("c")).join(F.broadcast(last_day(usage))).groupBy(bucket.alias("bucket")).agg(F.sum("c").alias("n"))
+    return usage.groupBy("day").agg(F.count("*").alias("c")).transform(with_one, last_day(usage)).groupBy(bucket.alias("bucket")).agg(F.sum("c").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.functions.scalars import with_one
 from loomlake.functions import text as fn
 from loomlake.operators import graph
 from loomlake.operators import score as sc
@@ -171,7 +172,7 @@ def _hot(index: DataFrame) -> DataFrame:
     by = index.groupBy("entity_id").agg(F.count("*").alias("n"), F.countDistinct("tree_id").alias("src"), F.max("timestamp_ms").alias("last"), F.countDistinct("node_id").alias("deg"), F.count_if("is_user").alias("hits"))
     recency = fn.recency_piecewise((F.col("now") - F.col("last")) / 86_400_000.0)
     value = op.hotness(F.col("n"), F.col("src"), recency, F.least(F.col("deg") / 100, F.lit(1.0)), F.col("hits"))
-    return by.join(F.broadcast(now)).select("entity_id", "n", F.round(value, 6).alias("hotness"))
+    return by.transform(with_one, now).select("entity_id", "n", F.round(value, 6).alias("hotness"))
 
 
 @query("hotness", ["entity_index"], HOT + " select entity_id, hotness, case when hotness >= 10 then 'create' when hotness < 2 then 'archive' else 'keep' end as action, n % 100 = 0 as recheck from h")
@@ -188,7 +189,7 @@ def topic_backfill(index: DataFrame) -> DataFrame:
     order = [F.desc("timestamp_ms"), F.desc("node_id"), F.asc("surface"), F.desc("score"), F.asc("node_kind"), F.asc("entity_kind"), F.asc("tree_id")]
     top = tables.newest(index, ["entity_id"], 10, order)  # the limit precedes the window
     now = index.agg(F.max("timestamp_ms").alias("now"))  # one row
-    fresh = top.join(F.broadcast(now)).where("timestamp_ms >= now - 2000L * 86400000 and node_kind = 'leaf'")
+    fresh = top.transform(with_one, now).where("timestamp_ms >= now - 2000L * 86400000 and node_kind = 'leaf'")
     return fresh.groupBy("entity_id").agg(F.count("*").alias("leaves"), F.min("timestamp_ms").alias("first_ms"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.functions.scalars import with_one
 from loomlake.operators import graph as op
 from loomlake.operators import tables
 from loomlake.plans.catalog import query, stand_in
@@ -80,7 +81,7 @@ def sync_status(chunks: DataFrame) -> DataFrame:
  select provider, source_id, case when now - sec <= 30 then 'active' when now - sec <= 86400 then 'recent' else 'idle' end as freshness from l, m""")
 def f_sync_freshness(chunks: DataFrame) -> DataFrame:
     now = chunks.agg(F.max("sec").alias("now"))
-    last = chunks.groupBy("provider", "source_id").agg(F.max("sec").alias("sec")).join(F.broadcast(now))  # one row
+    last = chunks.groupBy("provider", "source_id").agg(F.max("sec").alias("sec")).transform(with_one, now)  # one row
     age = F.col("now") - F.col("sec")
     return last.select("provider", "source_id", F.when(age <= 30, "active").when(age <= 86_400, "recent").otherwise("idle").alias("freshness"))
 
@@ -126,7 +127,7 @@ def window_cover(summaries: DataFrame) -> DataFrame:
     level = summaries.where("level = 1")
     cover = level.where("time_end >= 900000000 and time_start <= 901000000").select("id", "time_start", F.lit("cover").alias("how"))
     some = cover.agg((F.count("*") > 0).alias("some"))
-    latest = level.orderBy(F.desc("sealed_at"), F.desc("id")).limit(1).join(some).where("not some")  # one row meets one row
+    latest = level.orderBy(F.desc("sealed_at"), F.desc("id")).limit(1).transform(with_one, some).where("not some")  # one row meets one row
     return cover.union(latest.select("id", "time_start", F.lit("latest")))
 
 

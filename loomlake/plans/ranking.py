@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from loomlake.functions.scalars import with_one
 from loomlake.operators import ranking as op
 from loomlake.operators import tables
 from loomlake.plans.catalog import query, stand_in
@@ -139,14 +140,14 @@ def turn_outcome(calls: DataFrame) -> DataFrame:
  select id, provider from notifications where id not in (select id from s)""")
 def surfaced_filter(rows: DataFrame, audit: DataFrame) -> DataFrame:
     now = audit.agg(F.max("ts_ms").alias("now"))  # one row
-    live = audit.join(F.broadcast(now)).where("ts_ms > now - 86400000 and not success and tool <> 'view'").select((F.col("id") + 1).alias("id"))
+    live = audit.transform(with_one, now).where("ts_ms > now - 86400000 and not success and tool <> 'view'").select((F.col("id") + 1).alias("id"))
     return tables.without(rows, live, ["id"]).select("id", "provider")
 
 
 @query("sent_once", ["notifications"], "with m as (select max(sec) as now from notifications) select provider || ':' || action as key, min(id) as id from notifications, m where sec >= now - 10 * 86400 group by 1")
 def sent_once(rows: DataFrame) -> DataFrame:
     now = rows.agg(F.max("sec").alias("now"))  # one row
-    fresh = rows.join(F.broadcast(now)).where("sec >= now - 10 * 86400")
+    fresh = rows.transform(with_one, now).where("sec >= now - 10 * 86400")
     return fresh.groupBy(F.concat_ws(":", "provider", "action").alias("key")).agg(F.min("id").alias("id"))
 
 
@@ -178,7 +179,7 @@ def respond_queue(kv: DataFrame) -> DataFrame:
 def artifacts_page(orders: DataFrame) -> DataFrame:
     total = orders.agg(F.count("*").alias("total"))  # one row
     top = orders.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(15).limit(15)
-    return top.join(F.broadcast(total)).select("o_orderkey", "total")
+    return top.transform(with_one, total).select("o_orderkey", "total")
 
 
 @query("meet_recent", ["orders"], "select o_orderkey, o_orderpriority from orders order by o_orderdate desc, o_orderkey desc limit 10")

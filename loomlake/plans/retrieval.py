@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.functions.scalars import with_one
 from loomlake.functions import vectors as vec
 from loomlake.operators import search as op
 from loomlake.plans.catalog import query, stand_in
@@ -92,11 +93,11 @@ def _hybrid(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     keyword = op.bm25(docs, "doc_id", "text", ["the"])
     most = keyword.agg(F.max("score").alias("most"))  # one row
-    keyword = keyword.join(F.broadcast(most)).select("doc_id", (F.col("score") / F.col("most")).alias("score"))
+    keyword = keyword.transform(with_one, most).select("doc_id", (F.col("score") / F.col("most")).alias("score"))
     linked = labels.groupBy("doc_id").agg(F.count("*").alias("n"))
     near = docs.where("doc_id % 4 = 0").select("doc_id").join(linked, "doc_id", "left").select("doc_id", (F.coalesce("n", F.lit(0)) / 2).alias("score"))
     now = docs.agg(F.max("doc_id").alias("now"))  # one row
-    fresh = docs.select("doc_id").join(F.broadcast(now)).select("doc_id", recency((F.col("now") - F.col("doc_id")).cast("double")).alias("score"))
+    fresh = docs.select("doc_id").transform(with_one, now).select("doc_id", recency((F.col("now") - F.col("doc_id")).cast("double")).alias("score"))
     return op.hybrid({"keyword": keyword, "graph": near, "freshness": fresh}, "doc_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.functions.scalars import with_one
 from loomlake.functions import text as fn
 from loomlake.operators import tables as op
 from loomlake.plans.catalog import query, stand_in
@@ -97,7 +98,7 @@ def facet_upsert(facets: DataFrame) -> DataFrame:
  select account, chat_id, count(*) as messages, max(sec) as last_sec from k group by 1, 2""")
 def msg_upsert(messages: DataFrame) -> DataFrame:
     now = messages.agg(F.max("sec").alias("now"))
-    fresh = messages.where("body <> ''").join(F.broadcast(now)).where(F.col("sec") >= F.col("now") - 90 * 86400)  # one row
+    fresh = messages.where("body <> ''").transform(with_one, now).where(F.col("sec") >= F.col("now") - 90 * 86400)  # one row
     kept = fresh.groupBy("account", "chat_id", "message_id").agg(F.max("sec").alias("sec"))
     return kept.groupBy("account", "chat_id").agg(F.count("*").alias("messages"), F.max("sec").alias("last_sec"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.functions.scalars import with_one
 from loomlake.functions import text as fn
 from loomlake.plans.catalog import query, stand_in
 
@@ -73,14 +74,14 @@ def f_sanitize_fts(rows: DataFrame) -> DataFrame:
 @query("f_recency", ["usage"], "with m as (select max(sec) as now from usage) select id, round(least(greatest(1 / (1 + (now - sec) / 3600.0 / 24), 0), 1), 6) as recency from usage, m")
 def f_recency(usage: DataFrame) -> DataFrame:
     now = usage.agg(F.max("sec").alias("now"))  # one row
-    return usage.select("id", "sec").join(F.broadcast(now)).select("id", F.round(fn.recency((F.col("now") - F.col("sec")) / 3600.0), 6).alias("recency"))
+    return usage.select("id", "sec").transform(with_one, now).select("id", F.round(fn.recency((F.col("now") - F.col("sec")) / 3600.0), 6).alias("recency"))
 
 
 @query("f_recency_piecewise", ["usage"], """with m as (select max(sec) as now from usage), d as (select id, (now - sec) / 86400.0 as d from usage, m)
  select id, round(case when d <= 0 then 1 when d <= 7 then 1 - d / 14 when d < 30 then 0.5 * (30 - d) / 23 else 0 end, 6) as recency from d""")
 def f_recency_piecewise(usage: DataFrame) -> DataFrame:
     now = usage.agg(F.max("sec").alias("now"))  # one row
-    return usage.select("id", "sec").join(F.broadcast(now)).select("id", F.round(fn.recency_piecewise((F.col("now") - F.col("sec")) / 86_400.0), 6).alias("recency"))
+    return usage.select("id", "sec").transform(with_one, now).select("id", F.round(fn.recency_piecewise((F.col("now") - F.col("sec")) / 86_400.0), 6).alias("recency"))
 
 
 @query("f_trunc_body", ["documents"], "select doc_id, case when length(text) > 300 then substr(text, 1, 299) || '…' else text end as body from documents")
