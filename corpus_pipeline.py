@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import bpe, mixing, queries, secrets, simhash, toxicity
-from loomlake.llm.common import documents, stored
+from loomlake.llm.common import documents, spread, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; each result is written as Parquet and read as the next one's documents."""
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

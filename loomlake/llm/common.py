@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -18,12 +19,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores where the scan has fewer splits than there are cores (one file of one row group, say).
+
+    A scan of many splits, so any large table, stays as it is: its rows don't move."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Only a local session without the setting gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="loomlake-")
     spark.conf.set("spark.checkpoint.dir", made)

@@ -33,7 +33,7 @@ from loomlake.llm.common import blocks, byte_texts, discard, shuffle_partitions,
 MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 18
-CACHED_PIECES = 600_000
+CACHED_PIECES = 400_000
 END = 1
 #: Lower-case letters of ASCII and Latin-1, all composed: a run of them is one piece for the tokenizer.
 LETTERS = "a-zß-öø-ÿ"
@@ -159,7 +159,7 @@ def _encoded(tokenizer: WordTokenizer):
         gc.disable()  # the cache holds many live lists, and nothing here makes cycles
         for batch in batches:
             texts = batch.column(1)
-            for lo, hi in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 12 << 20):
+            for lo, hi in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 8 << 20):
                 ids, counts = tokenizer.encode(texts[lo:hi])
                 at = np.concatenate(([0], np.cumsum(counts))) * 2
                 data = ids.astype("<u2").tobytes()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import documents, held_out, n_words
+from loomlake.llm.common import documents, held_out, n_words, spread
 
 
 def op1_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import rules
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    found, _ = rules.judged(documents(spark, sf_dir), labels)
+    found, _ = rules.judged(spread(documents(spark, sf_dir)), labels)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return found.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "rule")
 
@@ -35,13 +35,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import flac
 
-    return flac.digests(flac.encode(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+    return flac.digests(flac.encode(spread(documents(spark, sf_dir)))).withColumnRenamed("id", "doc_id")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import secrets
 
-    found = secrets.with_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    found = secrets.with_spans(spread(documents(spark, sf_dir)).select("doc_id", "text"))
     base = F.col("secret_spans.base")
 
     def number(kind: str):
@@ -88,7 +88,7 @@ def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from loomlake.llm import huffman
 
-    coded, book = huffman.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    coded, book = huffman.write(spread(documents(spark, sf_dir)), public_tokenizers.path("word_bpe_49k.json"))
     return huffman.read(coded, book, with_tokens=False).withColumnRenamed("id", "doc_id")
 
 
@@ -104,7 +104,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import bpe
 
     own = byte_bpe()
-    return bpe.digests(bpe.encode(documents(spark, sf_dir), own), own).withColumnRenamed("id", "doc_id")
+    return bpe.digests(bpe.encode(spread(documents(spark, sf_dir)), own), own).withColumnRenamed("id", "doc_id")
 
 
 def toxicity_index(docs: DataFrame, spark: SparkSession, sf_dir: str):
@@ -117,7 +117,7 @@ def toxicity_index(docs: DataFrame, spark: SparkSession, sf_dir: str):
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import toxicity
 
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     found = toxicity.score(docs, toxicity_index(docs, spark, sf_dir))
     evidence = F.array_join(F.transform("evidence", lambda e: e["example"].cast("string")), ",").alias("nearest")
     return found.select(
@@ -128,14 +128,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm.simhash import near_duplicates
 
-    found = near_duplicates(documents(spark, sf_dir))
+    found = near_duplicates(spread(documents(spark, sf_dir)))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import pii
 
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     found = pii.scan(docs, pii.fit(docs))
 
     def number(kind: str):
