@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import with_one
+from loomlake.session import written
 from loomlake.functions import vectors
 
 K1, B = 1.2, 0.75
@@ -34,7 +35,8 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], all_terms:
     wanted = sorted(set(terms))
     w = words(text)
     counts = [_count("w", t).alias(f"t{i}") for i, t in enumerate(wanted)]
-    rows = docs.select(key, w.alias("w")).select(key, F.size("w").alias("len"), *counts)
+    # written down: the texts are cut into words once, for the statistics and the scores
+    rows = written(docs.select(key, w.alias("w")).select(key, F.size("w").alias("len"), *counts), "bm25")
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(wanted))))  # one row
     hit = [F.col(f"t{i}") > 0 for i in range(len(wanted))]
     keep = hit[0]

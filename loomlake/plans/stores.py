@@ -57,9 +57,11 @@ def kv_delete(kv: DataFrame) -> DataFrame:
 @query("graph_upsert", ["triples"], f"""select namespace, {NORM_S.format(c='subject')} as subject, {NORM_P.format(c='predicate')} as predicate, {NORM_S.format(c='object')} as object,
  cast(sum(evidence_count) as bigint) as evidence_count, string_agg(distinct document_id, ',' order by document_id) as document_ids, max(updated_at) as updated_at from triples group by 1, 2, 3, 4""")
 def graph_upsert(triples: DataFrame) -> DataFrame:
+    # raw triples are merged first, so that few are normalised
+    raw = triples.groupBy("namespace", "subject", "predicate", "object").agg(F.sum("evidence_count").alias("e"), F.collect_set("document_id").alias("d"), F.max("updated_at").alias("u"))
     keys = ["namespace", fn.norm_entity("subject").alias("subject"), fn.norm_predicate("predicate").alias("predicate"), fn.norm_entity("object").alias("object")]
-    ids = F.array_join(F.array_sort(F.collect_set("document_id")), ",")
-    return triples.groupBy(*keys).agg(F.sum("evidence_count").cast("long").alias("evidence_count"), ids.alias("document_ids"), F.max("updated_at").alias("updated_at"))
+    ids = F.array_join(op.merged_set(F.collect_list("d")), ",")
+    return raw.groupBy(*keys).agg(F.sum("e").cast("long").alias("evidence_count"), ids.alias("document_ids"), F.max("u").alias("updated_at"))
 
 
 @query("graph_replace_doc", ["triples"], """select document_id, subject, predicate, object from (
