@@ -153,3 +153,14 @@ def test_python_texts():
     assert pt.plain_shorten(f"see {long}.", lambda u: "id") == "see link://id."
     assert plain_facts("x\n--\nAda Byron\nEngineer at Example\nUTC+2\nRome, Italy\nada@e.org")["timezone"] == "UTC+2"
     assert compaction.plain_reduce("a\na\n\nb\n", skip=r"^\s*$") == "a\nb"
+
+
+def test_memory_keeps_last_write_and_forgets(spark):
+    from loomlake.memory import Memory
+
+    rows = [("a b", "k", "old tea", "x", 1), ("a b", "k", "new coffee", "x", 2), ("", "z", "tea tea", "y", 1)]
+    memory = Memory(spark.createDataFrame(rows, "namespace string, key string, content string, category string, updated_at long"))
+    assert [r.content for r in memory.get("a_b", "k").collect()] == ["new coffee"]
+    assert {r.namespace for r in memory.namespaces().collect()} == {"a_b", "global"}
+    assert [r.key for r in memory.recall("global", ["tea"], 5).collect()] == ["z"]
+    assert memory.forget(memory.get("a_b", "k")).list("a_b").count() == 0
