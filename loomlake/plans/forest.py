@@ -112,7 +112,7 @@ def global_seal(summaries: DataFrame) -> DataFrame:
 
 
 @query("recap", ["summaries"], """with w as (select unnest([1, 7, 30, 400]) as days), l as (select days, case when days < 2 then 0 when days < 14 then 1 when days < 60 then 2 else 3 end as wanted from w), have as (select distinct level from summaries)
- select cast(days as integer) as days, cast(max(level) as bigint) as level from l join have on have.level <= wanted group by 1""")
+ select cast(days as integer) as days, max(level) as level from l join have on have.level <= wanted group by 1""")
 def recap(summaries: DataFrame) -> DataFrame:
     windows = summaries.sparkSession.createDataFrame([(d,) for d in (1, 7, 30, 400)], "days int").withColumn("wanted", op.pick_level(F.col("days")))
     have = summaries.select("level").distinct()  # levels are few: MOST_LEVELS at most
