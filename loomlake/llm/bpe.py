@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import blocks, byte_texts
+from loomlake.llm.common import blocks, byte_texts, trim
 
 BLOCK_BYTES = 2 << 20
 MATRIX_CELLS = 1 << 20
@@ -262,6 +262,9 @@ def _checked(bpe: ByteBpe, id_at: int, text_at: int):
                     [batch.column(id_at)[lo:hi], pa.array(sizes.astype(np.int64)), lists, pa.array(same, pa.bool_())],
                     ["id", "n_tokens", "ids", "decodes"],
                 )
+                del part, ids, sizes, flat, widths, back, lists
+            del raw, batch
+            trim()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -84,6 +85,15 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on from stage to stage, and so would their largest heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(lengths: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of items whose lengths sum to the limit at most (single longer items alone)."""
     start, total = 0, 0

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import blocks, byte_texts, discard, shuffle_partitions, stored
+from loomlake.llm.common import blocks, byte_texts, discard, shuffle_partitions, stored, trim
 from loomlake.llm.components import connected
 
 SEED = 42
@@ -82,6 +82,8 @@ def _fingerprint_batches(width: int):
         for batch in batches:
             fp = fingerprints(byte_texts(batch.column(1)), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["id", "fp", "same"])
+            del batch, fp
+            trim()
 
     return run
 
@@ -185,6 +187,7 @@ def _link_batches(radius: int):
             held_k, held_f = keys[last:], fps[last:]
         if len(held_k):
             yield links(held_k, held_f)
+        trim()
 
     return run
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import byte_texts, discard, stored
+from loomlake.llm.common import blocks, byte_texts, discard, stored, trim
 
 #: Letters fold to lower case, other ASCII turns into a space, bytes of other letters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -158,7 +158,7 @@ class Nearest:
             terms, counts = np.array(key).T
             ids, cos = self.nearest(terms, counts)
             p = 1 / (1 + math.exp(-(self.slope * _logit(self.vote(ids, cos)) + self.offset)))
-            if len(self.known) >= 50_000:
+            if len(self.known) >= 10_000:
                 self.known.clear()
             near = [(int(self.ids[i]), float(c), int(self.labels[i])) for i, c in zip(ids[:3], cos[:3])]
             self.known[key] = (p, near)
@@ -177,16 +177,21 @@ def _logit(p):
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, label in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist()):
-            counts[label].update(set(words_of(text)))
-        terms = list(counts[0].keys() | counts[1].keys())
-        for lo in range(0, len(terms), 20_000):
-            part = terms[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.binary()), *(pa.array([c[t] for t in part], pa.int64()) for c in counts)],
-                ["term", "n0", "n1"],
-            )
+        texts, labels = byte_texts(batch.column(1)), batch.column(2).to_pylist()
+        for first, last in blocks([len(t) for t in texts], 4 << 20):
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(texts[first:last], labels[first:last]):
+                counts[label].update(set(words_of(text)))
+            terms = list(counts[0].keys() | counts[1].keys())
+            for lo in range(0, len(terms), 20_000):
+                part = terms[lo : lo + 20_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.binary()), *(pa.array([c[t] for t in part], pa.int64()) for c in counts)],
+                    ["term", "n0", "n1"],
+                )
+            del counts, terms
+        del batch, texts
+        trim()
 
 
 def _vectors(terms: dict[bytes, int]):
@@ -303,6 +308,8 @@ def keep_clean(docs: DataFrame, index: Nearest, text_col: str = "text", least: f
         own = sent.value
         for batch in batches:
             yield batch.filter(pa.array([own.score(t)[0] < least for t in byte_texts(batch.column(at))], pa.bool_()))
+            del batch
+            trim()
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots would not resolve
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
