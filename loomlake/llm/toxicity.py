@@ -224,7 +224,9 @@ def fit(
 ) -> Nearest:
     """The index over a sample of at most about max_examples of labels (id, label 0 or 1), chosen by hash of the id.
 
-    Only the sample is bounded, by max_examples rows; the space keeps the max_terms terms of largest likelihood ratio."""
+    Only the sample is bounded, by max_examples rows; the space keeps the max_terms terms of largest likelihood ratio.
+    A likelihood ratio grows with the number of labels: where few labels let no term get far beyond least_ratio, half
+    of the largest ratio is enough, so that a space exists at every size."""
     spark = docs.sparkSession
     given = labels.select(F.col("id").cast("long"), F.col("label").cast("int")).where("id is not null and label in (0, 1)")
     n = given.count()
@@ -252,11 +254,13 @@ def fit(
     chosen = (
         counts.where(df >= 3)
         .select("term", ratio.alias("ratio"), odds.alias("odds"))
-        .where((F.col("ratio") >= least_ratio) & (F.abs("odds") >= math.log(least_odds)))
+        .where(F.abs("odds") >= math.log(least_odds))
         .orderBy(F.desc("ratio"), "term")
         .limit(max_terms)
         .collect()
     )
+    least = min(least_ratio, chosen[0].ratio / 2) if chosen else least_ratio
+    chosen = [r for r in chosen if r.ratio >= least]
     terms = {bytes(r.term): i for i, r in enumerate(sorted(chosen, key=lambda r: bytes(r.term)))}
     rows = texts.mapInArrow(_vectors(terms), "id long, label int, terms array<long>, counts array<long>").collect()
     discard(texts)

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 
+from corpus_pipeline import drop_toxic
 from loomlake.llm import toxicity
-from loomlake.llm.common import held_out
+from loomlake.llm.common import documents, held_out
 from loomlake.llm.queries import op8_toxicity
 
 
@@ -50,6 +51,20 @@ def test_held_out_rows(spark):
     assert sum(toxic) >= 0.5 * len(toxic)
 
 
+def test_few_labels(spark):
+    """68 labelled texts, 10 of them toxic: too few for any term to reach the ratio that larger tables ask for."""
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in op8_toxicity(spark, sf).collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [i for i in toxic if rows[i].held_out]
+    assert [i for i in held if toxic[i] == 1] == [81] and rows[81].predicted == 1
+    assert not any(rows[i].predicted for i in held if toxic[i] == 0)
+    assert {i for i, r in rows.items() if r.predicted} == {21, 33, 35, 81, 129, 169, 171, 186}
+    docs = documents(spark, sf)
+    kept = {r.doc_id for r in drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    assert kept == {i for i, r in rows.items() if not r.predicted}
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, "vile vile text"), (2, "fine text"), (3, None), (4, ""), (None, "vile"), (1, "vile vile text")],
