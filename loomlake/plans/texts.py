@@ -256,3 +256,11 @@ def f_normalize(docs: DataFrame) -> DataFrame:
 
     plain = docs.where(~F.col("text").rlike("[ßæœøþðđħıŋ]"))
     return plain.select("doc_id", F.md5(normalize(F.substring("text", 1, 400))).alias("h"))
+
+
+@query("f_normalize_whole", ["documents"])
+def f_normalize_whole(docs: DataFrame) -> DataFrame:
+    """Whole texts of all documents; f_normalize keeps to what its SQL can fold."""
+    from loomlake.functions.pandas_text import normalize
+
+    return docs.select("doc_id", F.md5(normalize("text")).alias("h"))
