@@ -13,6 +13,8 @@ from loomlake.sources import contacts, readers
 
 stand_in("log_lines", "select event_id, case when event_id % 10 = 0 then chr(123) || 'bad' when event_id % 11 = 0 then '  ' else props end as line from {events}")
 stand_in("mails", """select doc_id, 'thread ' || cast(doc_id % 40 as string) as subject, lang || '@mail.com' as sender, doc_id * 60 as sent_at, 'Hi' || chr(10) || substr(text, 1, 200) || chr(10) || 'On Monday Ada wrote:' || chr(10) || '> old' as body, case when doc_id % 3 = 0 then '<mailto:out@x>' else null end as unsubscribe from {documents}""")
+#: Whole texts as bodies, 40 mails a thread at any size of the table.
+stand_in("whole_mails", """select doc_id, 'thread ' || cast(cast(floor(doc_id / 40) as bigint) as string) as subject, lang || '@mail.com' as sender, doc_id * 60 as sent_at, 'Hi' || chr(10) || text || chr(10) || 'On Monday Ada wrote:' || chr(10) || '> old' as body, case when doc_id % 3 = 0 then '<mailto:out@x>' else null end as unsubscribe from {documents}""")
 stand_in("raw_documents", """select doc_id, case doc_id % 4 when 0 then cast(doc_id * 1000 as string) when 1 then '2024-01-02T03:04:05' when 2 then 'soon' else null end as stamp, case when doc_id % 5 = 0 then null else source end as provider, substr(text, 1, 100) as body from {documents}""")
 stand_in("responses", "select doc_id, 'Subject A' || chr(10) || 'body ' || cast(doc_id as string) || chr(10) || '---' || chr(10) || 'Subject B' || chr(10) || '## Subject C' || chr(10) || 'x' as markdown from {documents}")
 stand_in("marked_turns", "select user_id as session_id, event_id as turn, @sec(ts) as sec, event_type = 'error' as marker from {events}")
@@ -44,6 +46,9 @@ def src_email(mails: DataFrame) -> DataFrame:
     return by.select("subject", "n", "first_sent", F.md5(F.array_join(F.transform("l", lambda x: x["m"]), "\n")).alias("h"))
 
 
+query("src_email_whole", ["whole_mails"])(src_email)
+
+
 @query("src_document", ["raw_documents"], """select doc_id, coalesce(provider, 'unknown') as provider, case when regexp_matches(stamp, '^[0-9]+$') then cast(stamp as bigint) when try_strptime(stamp, '%Y-%m-%dT%H:%M:%S') is not null then epoch_ms(try_strptime(stamp, '%Y-%m-%dT%H:%M:%S')) else 1700000000000 end as ts_ms from raw_documents""")
 def src_document(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("provider", F.lit("unknown")).alias("provider"), readers.document_time(F.col("stamp"), F.lit(1_700_000_000_000)).alias("ts_ms"))
@@ -111,6 +116,9 @@ def f_email_clean(mails: DataFrame) -> DataFrame:
     return mails.select("doc_id", F.md5(clean_email("body")).alias("h"))
 
 
+query("f_email_clean_whole", ["whole_mails"])(f_email_clean)
+
+
 @query("f_vec_codec", ["embeddings"], "select vec_id, cast(len(embedding) * 4 as integer) as bytes, true as same from embeddings")
 def f_vec_codec(rows: DataFrame) -> DataFrame:
     from loomlake.functions.pandas_text import pack_vector, unpack_vector

@@ -6,6 +6,7 @@ import hashlib
 import unicodedata
 
 import __spark_entry__ as entry
+from loomlake.functions.pandas_text import plain_clean_email
 
 
 def test_normalize_reads_every_letter_of_every_document(spark, sf_dir):
@@ -19,3 +20,31 @@ def test_normalize_reads_every_letter_of_every_document(spark, sf_dir):
     assert any(set("ßæœø") & set(r.text) for r in rows) and any(len(r.text) > 400 for r in rows)
     got = {r.doc_id: r.h for r in entry.queries()["f_normalize_whole"](spark, sf_dir).collect()}
     assert got == {r.doc_id: hashlib.md5(plain(r.text).encode()).hexdigest() for r in rows}
+
+
+def test_mails_are_hashed_whole(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    threads = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        head = f"From: {r.lang}@mail.com\n" + ("List-Unsubscribe: <mailto:out@x>\n" if r.doc_id % 3 == 0 else "")
+        threads.setdefault(f"thread {r.doc_id // 40}", []).append(head + f"Hi\n{r.text}".strip("\n"))
+    got = {r.subject: (r.n, r.h) for r in entry.queries()["src_email_whole"](spark, sf_dir).collect()}
+    assert got == {s: (len(m), hashlib.md5("\n".join(m).encode()).hexdigest()) for s, m in threads.items()}
+    assert max(n for n, _ in got.values()) <= 40
+
+
+def test_mails_are_cleaned_whole(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.h for r in entry.queries()["f_email_clean_whole"](spark, sf_dir).collect()}
+    want = {r.doc_id: hashlib.md5(plain_clean_email(f"Hi\n{r.text}\nOn Monday Ada wrote:\n> old").encode()).hexdigest() for r in rows}
+    assert got == want
+
+
+def test_transcripts_join_whole_messages(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    assert any(len(r.text) > 60 for r in rows)
+    lines = {}
+    for r in sorted(rows, key=lambda r: r.turn):
+        lines.setdefault(r.conv_id, []).append(f"{r.role}: {r.text}")
+    got = {r.conv_id: r.transcript for r in entry.queries()["transcript_day_whole"](spark, sf_dir).collect()}
+    assert got == {c: hashlib.md5("\n".join(x).encode()).hexdigest() for c, x in lines.items()}
