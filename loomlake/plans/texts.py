@@ -152,6 +152,13 @@ def f_redact_secrets(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", fn.redact_secrets("text").alias("body"))
 
 
+@query("f_sanitize", ["documents"])
+def f_sanitize(docs: DataFrame) -> DataFrame:
+    """Secrets, then personal data, with counts a class, over whole texts; f_redact_secrets keeps to its SQL's columns."""
+    made = docs.select("doc_id", fn.sanitized("text").alias("s"))
+    return made.select("doc_id", F.md5("s.text").alias("h"), *(f"s.{k}" for k in fn.SANITIZED))
+
+
 @query("f_pii", ["documents"], r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '[EMAIL]', 'g'), '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b', '[IP]', 'g'),
  '\+[0-9][ ().0-9-]{7,}[0-9]', '[PHONE]', 'g'), '\b[0-9]{13,19}\b', '[CARD]', 'g')) as h from documents""")
 def f_pii(docs: DataFrame) -> DataFrame:
