@@ -145,13 +145,25 @@ def _ask(n_ranges: int, limit: int):
 
 
 def _summed(hashes: list[bytes], counts: list[bytes]) -> tuple[list[bytes], int]:
-    """For each block the totals of its hashes, in its order, and how many distinct ones have any."""
+    """For each block the totals of its hashes, in its order, and how many distinct ones have any.
+
+    Totals take four bytes each, or eight in a block with one of 2^32 or more."""
     keys = np.frombuffer(b"".join(hashes), np.uint64)
     found, inverse = np.unique(keys, return_inverse=True)
     total = np.bincount(inverse, np.frombuffer(b"".join(counts), "<u4"), len(found))
-    answer = total[inverse].astype("<u4").tobytes()
-    at = np.concatenate(([0], np.cumsum([len(h) // 2 for h in hashes])))
-    return [answer[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], int((total > 0).sum())
+    answer = total[inverse].astype("<u8")
+    at = np.concatenate(([0], np.cumsum([len(h) // 8 for h in hashes])))
+    own = (answer[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+    return [(x if x.max(initial=0) >> np.uint64(32) else x.astype("<u4")).tobytes() for x in own], int((total > 0).sum())
+
+
+def _totals(hashes: np.ndarray, n_ranges: int, answers: list[bytes]) -> np.ndarray:
+    """The answered totals of all ranges, in the order of the hashes."""
+    order, cut = _ranges(hashes, n_ranges)
+    out = np.empty(len(hashes), np.int64)
+    for a, b, answer in zip(cut[:-1].tolist(), cut[1:].tolist(), answers):
+        out[order[a:b]] = np.frombuffer(answer, "<u8" if len(answer) == 8 * (b - a) else "<u4")
+    return out
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +259,8 @@ def _score(tokens: int, distinct: int, n_texts: int, n_ranges: int, backoff: flo
         check = _check(block)
         if head["range"] != -1 or len(answers) != n_ranges or any(r["check"] != check for r in answers):
             raise RuntimeError("the two passes saw different blocks: the input is not a stable scan")
-        counts = np.empty(len(block.word_hash), np.int64)
-        counts[_ranges(block.word_hash, n_ranges)[0]] = np.frombuffer(b"".join(r["words"] for r in answers), "<u4")
-        pair_counts = np.empty(len(block.pairs), np.int64)
-        pair_counts[_ranges(block.pair_hash, n_ranges)[0]] = np.frombuffer(b"".join(r["pairs"] for r in answers), "<u4")
+        counts = _totals(block.word_hash, n_ranges, [r["words"] for r in answers])
+        pair_counts = _totals(block.pair_hash, n_ranges, [r["pairs"] for r in answers])
         model = Automaton(len(counts), counts, block.pairs, pair_counts, tokens, distinct, n_texts, backoff)
         known = np.add.reduceat((counts > 0)[block.tokens].astype(np.int64), block.starts)
         base = np.add.reduceat(model.root_weight[block.tokens], block.starts)

@@ -90,3 +90,20 @@ def test_states_are_distributions():
             key = state * n + w
             mass += 10 ** weights[key] if key in weights else 10 ** (model.failure[state] + model.root_weight[w])
         assert mass == pytest.approx(1.0)
+
+
+def test_totals_beyond_32_bits():
+    """Two blocks with a shared word of nearly 2^32 each; a third without it keeps the narrow form."""
+    big, rare, high = 5, 7, 1 << 63
+    hashes = [np.array(h, np.uint64) for h in ([big, rare, high], [high, big], [rare])]
+    counts = [np.array(c, "<u4") for c in ([(1 << 32) - 1, 3, 2], [1, (1 << 32) - 1], [4])]
+    want = {big: (1 << 33) - 2, rare: 7, high: 3}
+    asked = []
+    for h, c in zip(hashes, counts):
+        order, cut = lm._ranges(h, 2)
+        asked.append([(h[order[a:b]].tobytes(), c[order[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])])
+    answers = [lm._summed([a[r][0] for a in asked], [a[r][1] for a in asked]) for r in range(2)]
+    assert sum(n for _, n in answers) == 3
+    for i, h in enumerate(hashes):
+        assert lm._totals(h, 2, [answers[r][0][i] for r in range(2)]).tolist() == [want[x] for x in h.tolist()]
+    assert [len(b) for b in answers[0][0]] == [16, 8, 4]
