@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.functions.text import FOLDED
+from loomlake.functions.text import ENTITY_FORMS, FOLDED
 
 _FOLD = str.maketrans(FOLDED)
 
@@ -158,6 +158,12 @@ def chunk_markdown(max_tokens: int):
 # Lines that begin a quoted reply or a footer.
 REPLY = re.compile(r"^(On .{5,200} wrote:|-+ ?Original Message ?-+|From: .+|Begin forwarded message:)\s*$", re.I)
 FOOTER = re.compile(r"^(--\s*|unsubscribe\b.*|you (are receiving|received) this.*|view (this email )?in (your )?browser.*|sent from my .*)$", re.I)
+FOOTER_TRIGGERS = (
+    "unsubscribe", "view in browser", "view this email in your browser", "view it in your browser", "update your email settings", "manage your subscription",
+    "manage preferences", "email preferences", "you are receiving this email because", "you received this email because", "you're receiving this email because",
+    "to stop receiving", "all rights reserved", "© 20", "(c) 20", "copyright 20", "powered by mailchimp", "sent via sendgrid", "this email and any files",
+    "confidentiality notice", "if you are not the intended recipient", "this communication may contain",
+)
 
 
 def plain_clean_email(x: str) -> str:
@@ -166,7 +172,7 @@ def plain_clean_email(x: str) -> str:
     lines = x.replace("\r\n", "\n").split("\n")
     for i, line in enumerate(lines):
         s = line.strip()
-        if REPLY.match(s) or FOOTER.match(s) or (s.startswith(">") and all(y.strip().startswith(">") for y in lines[i : i + 3]) and i + 3 <= len(lines)):
+        if REPLY.match(s) or FOOTER.match(s) or any(y in s.lower() for y in FOOTER_TRIGGERS) or (s.startswith(">") and all(y.strip().startswith(">") for y in lines[i : i + 3]) and i + 3 <= len(lines)):
             break
         if s or (out and out[-1]):
             out.append(line.rstrip())
@@ -174,6 +180,24 @@ def plain_clean_email(x: str) -> str:
 
 
 clean_email = _each(plain_clean_email, T.StringType())
+_ENTITIES = tuple((kind, re.compile(form, re.ASCII)) for kind, form in ENTITY_FORMS)
+
+
+def plain_entity_spans(x: str) -> list[dict]:
+    """Entities with their places in characters, and a topic for each hashtag."""
+    out = []
+    for kind, form in _ENTITIES:
+        for m in form.finditer(x):
+            out.append({"kind": kind, "surface": m[0], "start": m.start(), "end": m.end()})
+            if kind == "hashtag":
+                out.append({"kind": "topic", "surface": m[0][1:].lower(), "start": m.start() + 1, "end": m.end()})
+    return out
+
+
+entity_spans = _each(
+    plain_entity_spans,
+    T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("surface", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])),
+)
 URL = re.compile(r"https?://[^\s<>\"')\]]+")
 LONG_URL = 80
 

@@ -225,6 +225,14 @@ def f_extract_entities(rows: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "e.kind", "e.surface").agg(F.count("*").alias("n"))
 
 
+@query("f_entity_spans", ["documents"])
+def f_entity_spans(docs: DataFrame) -> DataFrame:
+    """Entities and topics of whole documents with their spans; f_extract_entities keeps to its SQL's columns."""
+    from loomlake.functions.pandas_text import entity_spans
+
+    return docs.select("doc_id", F.explode(entity_spans("text")).alias("e")).select("doc_id", "e.*")
+
+
 @query("f_date_parse", ["stamps"], "select o_orderkey, coalesce(try_strptime(stamp, '%Y-%m-%dT%H:%M:%S'), try_strptime(stamp, '%Y-%m-%d %H:%M:%S'), try_strptime(stamp, '%Y-%m-%d')) as ts from stamps")
 def f_date_parse(rows: DataFrame) -> DataFrame:
     return rows.select("o_orderkey", fn.parsed_time("stamp").cast("timestamp_ntz").alias("ts"))
