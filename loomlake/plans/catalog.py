@@ -80,4 +80,4 @@ def oracle_sql() -> dict[str, str]:
 
 def all_loaded() -> None:
     """Imports the modules that register queries."""
-    from loomlake.plans import extension, forest, intake, joins, people, ranking, retrieval, stand_ins, stores, streams, texts, usage  # noqa: F401
+    from loomlake.plans import extension, forest, intake, joins, people, ranking, retrieval, stand_ins, stores, streams, texts, usage, whole  # noqa: F401

@@ -1,0 +1,23 @@
+"""The text queries over whole texts: the phrases and marks of sentences and noisy_lines beside each text, not for it."""
+
+from __future__ import annotations
+
+import re
+
+from loomlake.plans import extension, stores, texts
+from loomlake.plans.catalog import STAND_INS, TWINS, query, stand_in
+
+PHRASES = re.search(r"case doc_id % 12 .* else ", STAND_INS["sentences"], re.S)[0]
+stand_in("whole_sentences", f"select doc_id, text || chr(10) || {PHRASES}'' end as text, lang, source from {{documents}}")
+stand_in("whole_lines", """select doc_id, case doc_id % 4 when 0 then chr(27) || '[31mred' || chr(27) || '[0m ' || text when 1 then chr(10) || '  ' || chr(10) || 'a' || chr(10) || 'a' || chr(10) || 'b  ' || chr(10) || text || chr(10) || chr(10)
+    when 2 then 'x' || chr(13) || chr(10) || 'y' || chr(13) || chr(10) || 'y' || chr(13) || chr(10) || text else text end as text from {documents}""")
+
+for f in (
+    texts.f_redact_secrets, texts.f_extract_entities, extension.extract_default, extension.embed_default, texts.f_injection, texts.f_events_heuristic,
+    texts.f_candidates, texts.f_reflections, stores.noise_filter, texts.f_norm_search, texts.f_sanitize_fts, texts.f_md_escape, texts.low_quality,
+):
+    sql = TWINS[f.__name__][1].replace(" sentences", " whole_sentences") if f.__name__ in TWINS else None
+    query(f"{f.__name__}_whole", ["whole_sentences"], sql)(f)
+
+for f in (texts.f_strip_ansi, texts.f_trim_edges, texts.f_norm_lines, texts.dedupe_adjacent):
+    query(f"{f.__name__}_whole", ["whole_lines"], TWINS[f.__name__][1].replace(" noisy_lines", " whole_lines"))(f)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 
 import __spark_entry__ as entry
 from loomlake.functions.pandas_text import plain_clean_email
+from loomlake.plans import catalog
 
 
 def test_normalize_reads_every_letter_of_every_document(spark, sf_dir):
@@ -48,3 +50,15 @@ def test_transcripts_join_whole_messages(spark, sf_dir):
         lines.setdefault(r.conv_id, []).append(f"{r.role}: {r.text}")
     got = {r.conv_id: r.transcript for r in entry.queries()["transcript_day_whole"](spark, sf_dir).collect()}
     assert got == {c: hashlib.md5("\n".join(x).encode()).hexdigest() for c, x in lines.items()}
+
+
+def test_text_queries_read_whole_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for name in ("whole_sentences", "whole_lines"):
+        rows = catalog.load(spark, sf, name).select("doc_id", "text").collect()
+        assert len(rows) == len(texts) and all(texts[r.doc_id] in r.text for r in rows)
+    got = entry.queries()["f_extract_entities_whole"](spark, sf).where("kind = 'email' and surface != 'ada@example.com'")
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    want = {i for i, t in texts.items() if mail.search(t)}
+    assert {r.doc_id for r in got.collect()} == want and len(want) == 11
