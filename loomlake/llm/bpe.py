@@ -2,8 +2,10 @@
 
 The distinct matches of the splitting pattern in a block of texts are bucketed by length and laid out as rows of
 token ids. Each round every row merges its leftmost pair of least rank: pair ranks come from a hashed table, rows are
-compacted by one shift, and rows without a pair of known rank leave. The only state is the rank file, whose size is
-fixed; work and memory are bounded by the block.
+compacted by one shift, and rows without a pair of known rank leave. A round costs a row its length, so a match of
+n bytes costs up to n squared: matches above LONG bytes (runs of letters or spaces, hardly ever words) take the same
+merges in the same order from a heap of (rank, place) instead, in n log n. The only state is the rank file, whose size
+is fixed; work and memory are bounded by the block.
 
 Results for odd input: null and empty texts have no ids; equal texts equal ids; lone surrogates cannot occur in
 Spark strings; an empty table gives no rows; other columns are not read.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -22,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import blocks, byte_texts, trim
+from loomlake.llm.common import blocks, byte_texts, in_arrow, trim
 
 BLOCK_BYTES = 2 << 20
-MATRIX_CELLS = 1 << 20
+MATRIX_CELLS = 1 << 19
+#: Longest row of a matrix.
+LONG = 512
 NONE = np.int32(2**31 - 1)
 
 
@@ -138,6 +143,43 @@ class ByteBpe:
             left = np.flatnonzero(j > 0)
             rank[left, j[left] - 1] = self.table.find(ids[left, j[left] - 1], best[left])
 
+    @cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {n: t for t, n in self.ranks.items()}
+
+    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """A long match merged: always the leftmost of the pairs of least rank, from a heap of rank and place."""
+        n = len(ids)
+        rank = self.table.find(ids[:-1], ids[1:]).astype(np.int64)
+        some = np.flatnonzero(rank != NONE)
+        heap = ((rank[some] << 32) | some).tolist()
+        heapq.heapify(heap)
+        token, best = ids.tolist(), rank.tolist()  # best: the rank of the pair that begins here
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        ranks, spelled, none = self.ranks, self.tokens, int(NONE)
+        while heap:
+            at = heapq.heappop(heap)
+            r, i = at >> 32, at & 0xFFFFFFFF
+            if best[i] != r or token[i] < 0:
+                continue  # merged or changed since
+            j = after[i]
+            token[i], token[j] = r, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                best[i] = ranks.get(spelled[r] + spelled[token[k]], none)
+                if best[i] != none:
+                    heapq.heappush(heap, (best[i] << 32) | i)
+            else:
+                best[i] = none
+            h = before[i]
+            if h >= 0:
+                best[h] = ranks.get(spelled[token[h]] + spelled[r], none)
+                if best[h] != none:
+                    heapq.heappush(heap, (best[h] << 32) | h)
+        out = np.array(token, np.int32)
+        return out[out >= 0]
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after another, and the number of each piece."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -145,12 +187,19 @@ class ByteBpe:
         starts = np.cumsum(sizes) - sizes
         counts = np.zeros(len(pieces), np.int64)
         order = np.argsort(sizes, kind="stable")
+        ordered = sizes[order]
         parts: list[np.ndarray] = []
         lo = 0
         while lo < len(order):
-            # a bucket holds pieces of like length, up to MATRIX_CELLS cells
             first = max(1, int(sizes[order[lo]]))
-            hi = int(np.searchsorted(sizes[order], first + max(1, first // 4), side="right"))
+            if first > LONG:
+                i = order[lo]
+                parts.append(self._merge_long(flat[starts[i] : starts[i] + sizes[i]]))
+                counts[i] = len(parts[-1])
+                lo += 1
+                continue
+            # a bucket holds pieces of like length, up to MATRIX_CELLS cells
+            hi = int(np.searchsorted(ordered, min(LONG, first + max(1, first // 4)), side="right"))
             hi = min(hi, lo + max(1, MATRIX_CELLS // max(1, int(sizes[order[hi - 1]]))))
             own = order[lo:hi]
             width = max(1, int(sizes[own[-1]]))
@@ -189,7 +238,7 @@ class ByteBpe:
 
     @cached_property
     def _bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _flat({n: t for t, n in self.ranks.items()})
+        return _flat(self.tokens)
 
     @cached_property
     def _decimals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,6 +284,9 @@ def _encoded(bpe: ByteBpe):
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], lists], ["id", "ids"])
+                del ids, sizes, lists
+            del raw, batch
+            trim()
 
     return run
 
@@ -242,7 +294,7 @@ def _encoded(bpe: ByteBpe):
 def encode(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the ids that the pattern's matches, merged separately, have in order."""
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_encoded(bpe), "id long, ids array<int>")
+    return in_arrow(pair, _encoded(bpe), "id long, ids array<int>")
 
 
 def _checked(bpe: ByteBpe, id_at: int, text_at: int):
@@ -272,7 +324,7 @@ def _checked(bpe: ByteBpe, id_at: int, text_at: int):
 def encode_checked(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids, decodes): the ids, and whether they decode to the very text."""
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_checked(bpe, 0, 1), "id long, n_tokens long, ids array<int>, decodes boolean")
+    return in_arrow(pair, _checked(bpe, 0, 1), "id long, n_tokens long, ids array<int>, decodes boolean")
 
 
 def _digests(bpe: ByteBpe):
@@ -300,8 +352,8 @@ def _digests(bpe: ByteBpe):
 
 def digests(encoded: DataFrame, bpe: ByteBpe) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of encoded rows; the second hash is of the bytes decoded from the ids."""
-    return encoded.select("id", "ids").mapInArrow(
-        _digests(bpe), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return in_arrow(
+        encoded.select("id", "ids"), _digests(bpe), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 
@@ -319,4 +371,4 @@ def _texts(bpe: ByteBpe):
 
 def decode(encoded: DataFrame, bpe: ByteBpe) -> DataFrame:
     """(id, bytes) of rows with ids."""
-    return encoded.select("id", "ids").mapInArrow(_texts(bpe), "id long, bytes binary")
+    return in_arrow(encoded.select("id", "ids"), _texts(bpe), "id long, bytes binary")

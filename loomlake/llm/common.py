@@ -6,11 +6,12 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -80,6 +81,21 @@ def n_words(text: str | Column) -> Column:
     return F.size(F.array_remove(F.split(col, " "), "")).cast("long")
 
 
+#: Bounds of an Arrow batch. Both sides hold a batch several times over, and texts differ in length by orders.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 2_000
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches of bounded bytes; the session's own limits stay where they are smaller."""
+    conf = df.sparkSession.conf
+    for name, most in (("Bytes", BATCH_BYTES), ("Records", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = re.fullmatch(r"(-?\d+)[bB]?", conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(function, schema)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null gives the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

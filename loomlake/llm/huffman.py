@@ -23,17 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm.bpe import gather
-from loomlake.llm.common import blocks, byte_texts, discard, shuffle_partitions, stored
+from loomlake.llm.common import blocks, byte_texts, discard, in_arrow, shuffle_partitions, stored, trim
 
 MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 18
-CACHED_PIECES = 400_000
+CACHED_PIECES = 100_000
+TEXT_BYTES = 2 << 20
 END = 1
 #: Lower-case letters of ASCII and Latin-1, all composed: a run of them is one piece for the tokenizer.
 LETTERS = "a-zß-öø-ÿ"
@@ -57,7 +59,8 @@ class Numbered(dict):
 class WordTokenizer:
     """Encoder of a tokenizers file that drops white space: each distinct word of a block goes to the library once.
 
-    Valid only for tokenizers that treat white space as a mere separator, so that words don't affect each other."""
+    Valid only for tokenizers that treat white space as a mere separator, so that words don't affect each other. Added
+    tokens may break that rule, so texts with the string of one, in whatever case, go to the library whole."""
 
     def __init__(self, path: str):
         self.path = path
@@ -73,7 +76,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(self.path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.added = "|".join(added)
         self.model = self.library.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.symbols = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
@@ -107,8 +111,6 @@ class WordTokenizer:
         """Flat ids, and the start and number of each word's.
 
         Letters and a tail of punctuation are two pieces, each looked up; other words go to the whole library."""
-        if self.pieces is None:
-            self._start()
         if len(self.pieces) > CACHED_PIECES:
             self._clear()
         core = pc.utf8_rtrim(words, characters=string.punctuation)
@@ -131,8 +133,24 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by the end id, and the number of each text."""
+        if self.pieces is None:
+            self._start()
         # a copy without an offset: lower-casing a slice can go wrong
         texts = texts.take(pa.array(np.arange(len(texts)))).fill_null("")
+        if not self.added:
+            return self._by_words(texts, end)
+        special = pc.match_substring_regex(texts, self.added, ignore_case=True)
+        if not pc.any(special).as_py():
+            return self._by_words(texts, end)
+        ids, counts = self._by_words(pc.if_else(special, "", texts), end)
+        whole = [e.ids for e in self.library.encode_batch_fast(texts.filter(special).to_pylist(), add_special_tokens=False)]
+        own = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        more = np.fromiter(map(len, whole), np.int64, len(whole))
+        places = np.repeat((np.cumsum(counts) - counts)[own], more)
+        counts[own] += more
+        return np.insert(ids, places, np.fromiter(itertools.chain.from_iterable(whole), np.uint16, int(more.sum()))), counts
+
+    def _by_words(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         # letters that combine with a mark of U+0300 to U+037F may compose in one case only: then all keep their case
         if not pc.any(pc.match_substring_regex(texts, "[\u0300-\u037f]")).as_py():
             texts = pc.ascii_lower(texts)
@@ -155,21 +173,27 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 def _encoded(tokenizer: WordTokenizer):
+    def rows_of(own: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        ids, counts = tokenizer.encode(texts)
+        at = np.concatenate(([0], np.cumsum(counts))) * 2
+        rows = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(at.astype("<i4")), pa.py_buffer(ids.astype("<u2"))])
+        counts = np.bincount(ids, minlength=1 << 16)
+        some = np.flatnonzero(counts)
+        hist = [some.astype("<u2").tobytes() + counts[some].astype("<u4").tobytes(), *[None] * (len(own) - 1)]
+        return pa.RecordBatch.from_arrays([own, rows, pa.array(hist, pa.binary())], ["id", "tokens", "hist"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the cache holds many live lists, and nothing here makes cycles
-        for batch in batches:
-            texts = batch.column(1)
-            for lo, hi in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 8 << 20):
-                ids, counts = tokenizer.encode(texts[lo:hi])
-                at = np.concatenate(([0], np.cumsum(counts))) * 2
-                data = ids.astype("<u2").tobytes()
-                rows = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                counts = np.bincount(ids, minlength=1 << 16)
-                some = np.flatnonzero(counts)
-                hist = [some.astype("<u2").tobytes() + counts[some].astype("<u4").tobytes(), *[None] * (len(rows) - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(rows, pa.binary()), pa.array(hist, pa.binary())], ["id", "tokens", "hist"]
-                )
+        was = gc.isenabled()
+        gc.disable()  # the cache holds many live strings, and nothing here makes cycles
+        try:
+            for batch in batches:
+                for lo, hi in blocks(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), TEXT_BYTES):
+                    yield rows_of(batch.column(0)[lo:hi], batch.column(1)[lo:hi])
+                del batch
+                trim()
+        finally:
+            if was:
+                gc.enable()
 
     return run
 
@@ -178,7 +202,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(id, tokens, hist): little-endian 16-bit ids of each text and the end id; one row a block also has the counts
     of the block's ids (ids, then counts as 32-bit numbers)."""
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_encoded(WordTokenizer(path)), "id long, tokens binary, hist binary")
+    return in_arrow(pair, _encoded(WordTokenizer(path)), "id long, tokens binary, hist binary")
 
 
 def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +340,7 @@ def _blocks_of(book: Codebook, limit: int):
                 ids.append(i)
                 rows.append(row)
                 held += len(row) // 2
+            trim()
         if rows:
             yield flush()
 
@@ -326,13 +351,14 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """The block files of all documents in ascending order of id, as a table of blocks, and their code."""
     spark = docs.sparkSession
     flat = stored(tokenized(docs, path, id_col, text_col), "huffman-ids")
-    counts = flat.where("hist is not null").select("hist").mapInArrow(_id_counts, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = in_arrow(flat.where("hist is not null").select("hist"), _id_counts, "token int, n long")
+    counts = counts.groupBy("token").agg(F.sum("n").alias("n"))
     table = np.zeros(1 << 16, np.int64)
     for r in counts.collect():  # at most the tokenizer's vocabulary
         table[r.token] = r.n
     book = Codebook(code_lengths(table))
     dealt = flat.select("id", "tokens").repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "tokens")
-    coded = stored(dealt.mapInArrow(_blocks_of(book, block_ids), CODED), "huffman-blocks")
+    coded = stored(in_arrow(dealt, _blocks_of(book, block_ids), CODED), "huffman-blocks")
     discard(flat)
     return coded, book
 
@@ -373,7 +399,7 @@ def read(coded: DataFrame, book: Codebook, with_tokens: bool = True) -> DataFram
         before.append((r.file, total))
         total += r.n
     base = spark.createDataFrame(before, "file int, base long")
-    rows = coded.mapInArrow(_decoded(book, with_tokens), "file int, id long, place long, n_tokens long, ids_crc32 long, tokens binary")
+    rows = in_arrow(coded, _decoded(book, with_tokens), "file int, id long, place long, n_tokens long, ids_crc32 long, tokens binary")
     out = rows.join(F.broadcast(base), "file")  # as many rows as files
     kept = ["id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"]
     return out.select(*kept, *(["tokens"] if with_tokens else []))

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
+import string
+import time
 
 import public_tokenizers
 import tiktoken
@@ -32,6 +35,25 @@ def test_long_piece_and_repeats():
     assert ids.tolist() == [i for t in texts for i in PLAIN.encode_ordinary(t)]
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.text(alphabet="abst", min_size=bpe.LONG - 2, max_size=3 * bpe.LONG), st.integers(1, 3))
+def test_matches_above_the_longest_row(text, times):
+    assert OWN.encode([text * times])[0].tolist() == PLAIN.encode_ordinary(text * times)
+
+
+def test_a_match_of_a_million_letters():
+    rng = random.Random(3)
+    text = "".join(rng.choice(string.ascii_lowercase) for _ in range(1_000_000))
+    start = time.time()
+    ids, _ = OWN.encode([text])
+    assert time.time() - start < 60
+    flat, _ = OWN.decode(ids)
+    assert flat.tobytes() == text.encode()
+    # far from its ends a part is merged as it is alone
+    part, _ = OWN.encode([text[:100_000]])
+    assert ids[:60_000].tolist() == part[:60_000].tolist() and part.tolist() == PLAIN.encode_ordinary(text[:100_000])
+
+
 def test_query_matches_library(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op7_byte_bpe(spark, sf_dir).collect()

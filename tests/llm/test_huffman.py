@@ -17,7 +17,7 @@ from loomlake.llm.queries import op6_huffman
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>"]
 
 
 def plain(text):
@@ -25,7 +25,12 @@ def plain(text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.characters(exclude_categories=("Cs",)), max_size=40), max_size=5))
+@given(
+    st.lists(
+        st.lists(st.one_of(st.text(alphabet=st.characters(exclude_categories=("Cs",)), max_size=40), st.sampled_from([*SPECIAL, " ", "a"])), max_size=6).map("".join),
+        max_size=5,
+    )
+)
 def test_words_alone_give_the_ids_of_whole_texts(texts):
     ids, counts = huffman._tokenizer(PATH).encode(pa.array(texts, pa.string()))
     assert ids.tolist() == [i for t in texts for i in plain(t)]
@@ -83,6 +88,15 @@ def test_odd_rows(spark):
     assert huffman.read(coded, book).collect() == []
 
 
+def test_strings_of_added_tokens():
+    """As the library has it: these strings give their tokens, anywhere in a text, in their own case only."""
+    texts = ["a <|endoftext|> b <|startoftext|>x", None, "<|ENDOFTEXT|>", "plain", "", "<|endoftext|><|endoftext|>", "é<|endoftext|>\n", "<|endoftext |>"]
+    ids, counts = huffman._tokenizer(PATH).encode(pa.array(texts, pa.string()))
+    assert ids.tolist() == [i for t in texts for i in plain(t)]
+    assert counts.tolist() == [len(plain(t)) for t in texts]
+    assert plain(texts[0])[1] == 49407 and 49407 not in plain(texts[2])
+
+
 def test_plain_words_and_odd_words():
     words = ["Straße's", "ÀÉÎ-ß,ÿ", "don't", "ßß1a2", "x²y", "İstanbul", "H̱a", "Ǆz", "a b", "<|endoftext|>", "100%,", "...'d!!", "ΣΑΣ", "\x1c\x7f", "Çé"]
     texts = [" ".join(words), *words, *(w.upper() for w in words), *(w.lower() for w in words)]
