@@ -1,11 +1,11 @@
 """SimHash near-duplicate groups by multi-index hashing.
 
-A 64-bit fingerprint is cut into segments. Two fingerprints within `radius` bits agree up to
-radius // segments bits in at least one segment, so both enumerate the ball of half that radius around
-their segment's value: the balls meet exactly when the segments are close enough. Each ball point is a
-table key; the members of a key are verified by their whole distance. A key emits the links of a spanning
-forest of its members, so the number of links is linear in the rows even for large groups of copies,
-and no link between different texts is lost to the components.
+A 64-bit fingerprint is cut into segments. Two fingerprints within `radius` bits agree up to a share of them in at
+least one segment, so both enumerate the ball of half that radius around their segment's value: the balls meet exactly
+when the segments are close enough. Each ball point is a table key; the members of a key are verified by their whole
+distance. A key emits the links of a spanning forest of its members, so the number of links is linear in the rows even
+for large groups of copies, and no link between different texts is lost to the components. Segments get longer as the
+corpus grows, so that unrelated fingerprints hardly ever share a key.
 
 Results for odd input: null and empty texts have fingerprint zero and link like any other; equal texts have
 equal fingerprints; null ids take part, and a group of null ids alone has component null; an empty table
@@ -15,7 +15,9 @@ gives no rows; other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import blocks, byte_texts, discard, shuffle_partitions, stored, trim
+from loomlake.llm.common import blocks, byte_texts, discard, in_arrow, shuffle_partitions, stored, trim
 from loomlake.llm.components import connected
 
 SEED = 42
@@ -95,29 +97,65 @@ def text_hash(text: str | Column = "text") -> Column:
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp, same): the fingerprint as a signed long, and a hash of the text."""
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("same"))
-    return pair.mapInArrow(_fingerprint_batches(width), "id long, fp long, same long")
+    return in_arrow(pair, _fingerprint_batches(width), "id long, fp long, same long")
 
 
-def ball_keys(fps: np.ndarray, segments: int, radius: int) -> np.ndarray:
-    """One row of keys for each fingerprint: segment number above the ball points of the segment's value."""
-    edges = [64 * s // segments for s in range(segments + 1)]
+@dataclass(frozen=True)
+class Layout:
+    """Segments of a fingerprint: every choice of `take` of `parts` equal parts.
+
+    A bit that differs counts in a share take / parts of the segments, so some segment has at most
+    radius * take // parts of them, and both sides enumerate balls of half that radius."""
+
+    parts: int
+    take: int
+
+    def masks(self) -> list[int]:
+        edges = [64 * p // self.parts for p in range(self.parts + 1)]
+        part = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+        return [sum(part[i] for i in own) for own in combinations(range(self.parts), self.take)]
+
+    def ball(self, radius: int) -> int:
+        return -(-(radius * self.take // self.parts) // 2)
+
+    def crowd(self, radius: int, n: int) -> float:
+        """Unrelated fingerprints that share a key, if there are n."""
+        bits = 64 * self.take // self.parts
+        return n * sum(comb(bits, r) for r in range(self.ball(radius) + 1)) / 2**bits
+
+
+#: From few keys a fingerprint to many; the first one whose keys stay uncrowded is taken.
+LAYOUTS = (Layout(2, 1), Layout(3, 2))
+CROWD = 8
+
+
+def layout_for(radius: int, n: int) -> Layout:
+    """32-bit segments up to about a thousand million fingerprints, 42-bit ones beyond."""
+    return next((x for x in LAYOUTS if x.crowd(radius, n) <= CROWD), LAYOUTS[-1])
+
+
+def ball_keys(fps: np.ndarray, layout: Layout, radius: int) -> np.ndarray:
+    """One row of keys for each fingerprint: the ball points of each segment's value, mixed with the segment's number.
+
+    Two segments may share a key by chance; whole distances are verified anyway."""
     columns = []
-    for s in range(segments):
-        width = edges[s + 1] - edges[s]
-        value = (fps >> np.uint64(edges[s])) & np.uint64((1 << width) - 1)
-        masks = [sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(width), r)]
-        # segments above 60 bits would not leave room for their number
-        columns += [(value ^ np.uint64(m)) | np.uint64(s << 60) for m in masks]
+    for s, mask in enumerate(layout.masks()):
+        bits = [b for b in range(64) if mask >> b & 1]
+        value = fps & np.uint64(mask)
+        for r in range(layout.ball(radius) + 1):
+            for flips in combinations(bits, r):
+                point = value ^ np.uint64(sum(1 << b for b in flips))
+                columns.append(point * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s * 0x632BE59BD9B4E019 % 2**64))
     return np.stack(columns, axis=1)
 
 
-def _key_batches(segments: int, radius: int):
+def _key_batches(layout: Layout, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for lo in range(0, len(fps), 4096):
                 part = fps[lo : lo + 4096]
-                keys = ball_keys(part, segments, radius)
+                keys = ball_keys(part, layout, radius)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part, keys.shape[1]).view(np.int64))],
                     ["key", "fp"],
@@ -192,52 +230,65 @@ def _link_batches(radius: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, segments: int = 2) -> DataFrame:
-    """(a, b): links between different fingerprints within radius that keep all components whole."""
+def fingerprint_links(fps: DataFrame, n: int, radius: int = 4, layout: Layout | None = None) -> DataFrame:
+    """(a, b): links between different ones of n distinct fingerprints (column fp) within radius; they keep all
+    components whole. No fingerprint has more links than there are fingerprints within radius: 679,120 for four bits."""
     spark = fps.sparkSession
-    half = -(-(radius // segments) // 2)
-    keyed = fps.select("fp").distinct().mapInArrow(_key_batches(segments, half), "key long, fp long")
+    own = layout or layout_for(radius, n)
+    keyed = in_arrow(fps.select("fp"), _key_batches(own, radius), "key long, fp long")
     dealt = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_link_batches(radius), "a long, b long").distinct()
+    return in_arrow(dealt, _link_batches(radius), "a long, b long").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, segments: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, layout: Layout | None = None
 ) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id): the smallest id reachable by links."""
-    base, named = _grouped(docs, id_col, text_col, width, radius, segments)
-    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(least, "part").select(F.col("fp").alias("of"), "component_id")
+    base, named = _grouped(docs, id_col, text_col, width, radius, layout)
+    of_fp = named.select(F.col("fp").alias("of"), F.when(~F.col("label.no"), F.col("label.id")).alias("component_id"))
     return base.join(of_fp, base.fp == of_fp.of).select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, segments: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprinted rows, and (fp, least id, first row, part): the component of each distinct fingerprint."""
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, layout: Layout | None
+) -> tuple[DataFrame, DataFrame]:
+    """The fingerprinted rows (id, fp, same), and (fp, node, label) of each distinct fingerprint.
+
+    A node is a fingerprint's first row: (no id, id, text hash, fp); a label is the first node of the component, so
+    contraction itself finds the smallest id and nothing is gathered by component."""
     base = stored(with_fingerprint(docs, id_col, text_col, width), "simhash")
-    # nulls last: a row with an id comes before one without
-    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "same")).alias("first")
-    by_fp = base.groupBy("fp").agg(F.min("id").alias("least"), first)
-    links = stored(fingerprint_links(base, radius, segments), "simhash-links")
+    # an id counts before none; a null inside would not compare
+    row = F.struct(F.col("id").isNull().alias("no"), F.coalesce("id", F.lit(0)).alias("id"), "same", "fp")
+    nodes = stored(base.groupBy("fp").agg(F.min(row).alias("node")), "simhash-nodes")
+    links = fingerprint_links(nodes, nodes.count(), radius, layout)
+    for end in ("a", "b"):  # a fingerprint's links are bounded, so these joins have no hot key
+        own = nodes.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node"))
+        links = links.join(own, end)
+    links = stored(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "simhash-links")
     label = connected(links)
     discard(links)
-    named = by_fp.join(label, by_fp.fp == label.node, "left").select(
-        "fp", "least", "first", F.coalesce("label", "fp").alias("part")
-    )
-    return base, named
+    named = nodes.join(label.withColumnRenamed("node", "of"), nodes.node == F.col("of"), "left")
+    return base, named.select("fp", "node", F.coalesce("label", "node").alias("label"))
 
 
 def deduplicated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, segments: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, layout: Layout | None = None
 ) -> DataFrame:
-    """One row of docs for each group: that of the smallest id (of those with it, of the smallest text hash)."""
-    base, named = _grouped(docs, id_col, text_col, width, radius, segments)
-    kept = named.groupBy("part").agg(F.min("first").alias("first")).select("first.id", "first.same")
-    kept = stored(kept, "simhash-kept")
+    """One row of docs for each group: that of the smallest id (of those with it, of the smallest text hash; of rows
+    that are alike in both, the first by all columns as JSON)."""
+    base, named = _grouped(docs, id_col, text_col, width, radius, layout)
+    first = named.where("node = label")
+    kept = stored(first.select(F.when(~F.col("node.no"), F.col("node.id")).alias("id"), "node.same"), "simhash-kept")
     repeats = base.join(kept, base.id.eqNullSafe(kept.id) & (base.same == kept.same), "left_semi")
     repeats = repeats.groupBy("id", "same").count().where("count > 1").limit(1).count()
+    discard(base)
     wanted = kept.select(F.col("id").alias("_id"), F.col("same").alias("_same")).hint("shuffle_hash")
     mine = docs[id_col].cast("long").eqNullSafe(wanted["_id"]) & (text_hash(docs[text_col]) == wanted["_same"])
     out = docs.join(wanted, mine, "left_semi")
-    return out.dropDuplicates([id_col, text_col]) if repeats else out
+    if not repeats:
+        return out
+    rows = out.select(F.struct("*").alias("row")).groupBy(F.col(f"row.`{id_col}`").alias("id"), text_hash(f"row.`{text_col}`").alias("same"))
+    rows = rows.agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

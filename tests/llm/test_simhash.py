@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import numpy as np
+import pytest
 import xxhash
 
 from loomlake.llm import simhash
+from loomlake.llm.components import connected
 
 
 def plain_fingerprint(text: str | None) -> int:
@@ -54,6 +57,49 @@ def test_many_near_copies_and_odd_rows(spark):
     assert result(simhash.near_duplicates(docs)) == plain_components(rows)
 
 
+@pytest.mark.parametrize("layout", simhash.LAYOUTS)
+def test_every_layout_meets_all_pairs_in_reach(layout):
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for bits in range(5):
+        other = fps.copy()
+        for i in range(len(other)):
+            for b in rng.choice(64, bits, replace=False):
+                other[i] ^= np.uint64(1) << np.uint64(b)
+        mine, theirs = (simhash.ball_keys(x, layout, 4) for x in (fps, other))
+        assert all(set(a) & set(b) for a, b in zip(mine.tolist(), theirs.tolist()))
+    strangers = simhash.ball_keys(rng.integers(0, 1 << 63, 300, dtype=np.uint64), layout, 4)
+    assert not set(strangers.ravel().tolist()) & set(mine.ravel().tolist())
+
+
+def test_longer_segments_for_larger_corpora(spark, sf_dir):
+    assert simhash.layout_for(4, 10**6) == simhash.LAYOUTS[0] and simhash.layout_for(4, 10**11) == simhash.LAYOUTS[1]
+    assert simhash.LAYOUTS[1].crowd(4, 10**11) < 2
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert result(simhash.near_duplicates(docs, layout=simhash.LAYOUTS[1])) == plain_components(rows)
+
+
+def test_hubs_in_components(spark):
+    rng = np.random.default_rng(5)
+    links = [(1, i) for i in range(2, 300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2100, (60, 2))]
+    want: dict[int, int] = {x: x for pair in links for x in pair}
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    table = spark.createDataFrame(links, "a long, b long")
+    for hub in (10, 10**6):
+        assert {r.node: r.label for r in connected(table, hub).collect()} == {x: want[x] for x in linked}
+
+
+def test_ties_stay_defined(spark):
+    rows = [(7, "same text", "b"), (7, "same text", "a"), (9, "same text", "c"), (None, "same text", "d"), (8, "other words here", None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, `a.b` string")
+        assert sorted(map(tuple, simhash.deduplicated(docs).collect())) == [(7, "same text", "a"), (8, "other words here", None)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
