@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
 from corpus_pipeline import drop_toxic
 from loomlake.llm import toxicity
 from loomlake.llm.common import documents, held_out
-from loomlake.llm.queries import op8_toxicity
+from loomlake.llm.queries import op8_toxicity, toxicity_index
 
 
 def sample_index(n=700, seed=5):
@@ -28,7 +30,7 @@ def test_block_max_search_is_exact():
     for _ in range(60):
         q = np.array(sorted(rng.sample(range(30), rng.randint(1, 5))))
         counts = np.array([rng.randint(1, 4) for _ in q])
-        ids, cos = index.nearest(q, counts)
+        ids, cos = index.nearest(q, index.weigh(q, counts))
         qw = dict(zip(q, index.weigh(q, counts)))
         plain = []
         for i, (ts, ns) in enumerate(vectors):
@@ -41,6 +43,84 @@ def test_block_max_search_is_exact():
         assert [round(float(c), 9) for c in cos] == [-c for c, _ in plain]
 
 
+def test_blocks_below_the_bound_stay_unread():
+    """Blocks led by the query's word hold its nearest; the postings of the others aren't read."""
+    n = 40 * toxicity.BLOCK
+    vectors = [([i % 40, 40 + i % 7], [1, 1]) for i in range(n)]
+    index = toxicity.Nearest({f"t{i:02}".encode(): i for i in range(47)}, np.arange(n), np.array([int(i % 40 < 4) for i in range(n)])).build(vectors)
+    index.read = 0
+    ids, cos = index.nearest(np.array([3, 42]), index.weigh(np.array([3, 42]), np.array([1, 1])))
+    assert len(ids) == 15 and all(i % 40 == 3 and i % 7 == 2 for i in ids) and cos.min() > 0.99
+    assert index.read < n / 7
+
+
+def weights_by_hand(examples):
+    """(function from words to their weights, number of examples) as the module's text has it."""
+    n, n1 = len(examples), sum(y for _, _, y in examples)
+    df, df1 = Counter(), Counter()
+    for _, text, y in examples:
+        for w in set(toxicity.words_of(text)):
+            df[w] += 1
+            df1[w] += y
+
+    def weight(w):
+        d, d1, g = df[w], df1[w], 0.0
+        if not d:
+            return (math.log(n + 1) + 1) * toxicity.FLOOR
+        for seen, rows, cols in ((d1, d, n1), (d - d1, d, n - n1), (n1 - d1, n - d, n1), (n - n1 - d + d1, n - d, n - n1)):
+            g += 2 * seen * math.log(seen * n / (rows * cols)) if seen else 0.0
+        relevance = toxicity.FLOOR + (1 - toxicity.FLOOR) * g * g / (g * g + toxicity.HALF**2)
+        return (math.log((n + 1) / (d + 1)) + 1) * relevance
+
+    def vector(text):
+        v = {w: (1 + math.log(c)) * weight(w) for w, c in Counter(toxicity.words_of(text)).items()}
+        size = math.sqrt(math.fsum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    return vector
+
+
+def test_scores_against_brute_force_over_all_words(spark):
+    """Cosine over every word of every text, known or not, all pairs; then votes and the calibrating curve."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in documents(spark, sf).collect()}
+    index = toxicity_index(documents(spark, sf), spark, sf)
+    examples = [(i, docs[i], int(y)) for i, y in zip(index.ids.tolist(), index.labels.tolist())]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    trained = {(docs[i], y) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5 and i in docs}
+    assert {(t, y) for _, t, y in examples} == trained and len(examples) == len(trained)
+    vector = weights_by_hand(examples)
+    own = [(i, vector(t), y) for i, t, y in examples]
+    got = {r.doc_id: r for r in op8_toxicity(spark, sf).collect()}
+    for d, text in docs.items():
+        v = vector(text)
+        cos = sorted((-round(min(1.0, math.fsum(x * e.get(w, 0.0) for w, x in v.items())), 12), i, y) for i, e, y in own)[:15]
+        near = [(-c, y) for c, _, y in cos if c < 0]
+        p = (math.fsum(c * c * y for c, y in near) + index.base) / (math.fsum(c * c for c, _ in near) + 1)
+        x = math.log(p / (1 - p))
+        want = 1 / (1 + math.exp(-(index.slope * x + index.offset))) if near else index.base
+        assert abs(got[d].score - want) < 1e-6, d
+        if near:
+            assert got[d].nearest.split(",")[0] == str(cos[0][1])
+
+
+def test_one_label_only(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 5} words") for i in range(20)] + [(50, "")], "doc_id long, text string")
+    for label in (0, 1):
+        labels = spark.range(20).selectExpr("id", f"{label} as label")
+        rows = {r.id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+        assert {r.predicted for r in rows.values()} == {label}
+        assert rows[0].evidence[0].similarity == 1.0 and rows[0].evidence[0].label == label
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 50_000}" for i in range(400_000)) + " moron"
+    docs = spark.createDataFrame([(1, text), (2, "w1 w2 fine"), (3, "w3 moron"), (4, "moron w9")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id long, label int")
+    rows = {r.id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(rows) == 4 and rows[4] > rows[2]
+
+
 def test_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
@@ -59,8 +139,15 @@ def test_few_labels(spark):
     held = [i for i in toxic if rows[i].held_out]
     assert [i for i in held if toxic[i] == 1] == [81] and rows[81].predicted == 1
     assert not any(rows[i].predicted for i in held if toxic[i] == 0)
-    assert {i for i, r in rows.items() if r.predicted} == {21, 33, 35, 81, 129, 169, 171, 186}
     docs = documents(spark, sf)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    insults = {"loser", "idiot", "pathetic", "clown", "scum", "moron", "worthless", "disgusting", "trash", "stupid"}
+    insulting = {i for i, t in texts.items() if insults & {w.decode() for w in toxicity.words_of((t or "").encode())}}
+    # the others are the texts, or copies of texts, of examples that are labelled toxic
+    examples = {texts[i] for i in toxic if toxic[i] == 1 and not rows[i].held_out}
+    called = {i for i, r in rows.items() if r.predicted}
+    assert {21, 33, 35, 81, 129, 169, 171, 186} <= called
+    assert called == insulting | {i for i, t in texts.items() if t in examples}
     kept = {r.doc_id for r in drop_toxic(spark, docs, sf).select("doc_id").collect()}
     assert kept == {i for i, r in rows.items() if not r.predicted}
 
