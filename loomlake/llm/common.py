@@ -63,6 +63,14 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """name, or name with as many underscores as no column has, in whatever case."""
+    own = {c.lower() for c in taken}
+    while name.lower() in own:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

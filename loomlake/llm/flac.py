@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import blocks, byte_texts
+from loomlake.llm.common import blocks, byte_texts, in_arrow
 
 FRAME = 1024
 UNIT = 64
@@ -457,7 +457,7 @@ def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text's padded bytes as a FLAC stream."""
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_media, "id long, n_bytes long, media binary")
+    return in_arrow(pair, _media, "id long, n_bytes long, media binary")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,7 +477,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """(id, block, sample, pcm): the decoded blocks of each stream with the offset of their first sample."""
-    return media.select("id", "media").mapInArrow(_blocks, "id long, block long, sample long, pcm binary")
+    return in_arrow(media.select("id", "media"), _blocks, "id long, block long, sample long, pcm binary")
 
 
 def _feature(x: np.ndarray) -> str:
@@ -515,4 +515,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(media: DataFrame) -> DataFrame:
     """Sizes, checksums and features of what decoding the stored streams gives back."""
-    return media.select("id", "n_bytes", "media").mapInArrow(_digests, DIGEST)
+    return in_arrow(media.select("id", "n_bytes", "media"), _digests, DIGEST)

@@ -6,7 +6,9 @@ repetitions and first copies go before second ones. What a pattern sends is then
 of all, and one more of those that come first in a seeded order of hashes. The order is cut at a hash bucket, found
 from the pattern's bucket totals, so no pattern is ever sorted as a whole.
 
-The driver holds one row a pattern and refuses more than MAX_PATTERNS; with single membership that is one a source.
+The driver holds one short row a pattern; with single membership that is one a source. Patterns that share no source
+are routed apart, a pattern that is alone with its source without any search. Plans of up to SMALL rows are broadcast,
+longer ones joined by key.
 
 Results for odd input: null and empty texts have size 0 and are taken 0 times their size; a null source is a source
 of its own, last in order; equal rows share a fate; an empty table gives no rows; other columns are not read.
@@ -24,7 +26,7 @@ from pyspark.sql import Window
 
 from loomlake.llm.common import stored
 
-MAX_PATTERNS = 200_000
+SMALL = 100_000
 BUCKET_BITS = 16
 STRETCH = 256
 
@@ -49,9 +51,33 @@ def shared_targets(sizes: Sequence[int], weights: Sequence[float], total: float,
 
 
 def route(patterns: Mapping[str, tuple[int, Sequence[str]]], quotas: Mapping[str, int], copies: int = 2) -> dict[str, int]:
-    """Tokens that each pattern (tokens, its sources) sends: a maximum flow into the quotas of least repetition cost.
-
-    Successive shortest paths with potentials; arcs are source -> pattern copies -> member sources -> sink."""
+    """Tokens that each pattern (tokens, its sources) sends: a maximum flow into the quotas of least repetition cost."""
+    head: dict[str, str] = {}
+
+    def root(s: str) -> str:
+        while head.setdefault(s, s) != s:
+            head[s] = s = head[head[s]]
+        return s
+
+    for _, members in patterns.values():
+        for s in members[1:]:
+            head[root(s)] = root(members[0])
+    parts: dict[str, list[str]] = {}
+    for p, (_, members) in patterns.items():
+        parts.setdefault(root(members[0]) if members else "", []).append(p)
+    sent = {}
+    for own in parts.values():
+        tokens, members = patterns[own[0]]
+        if len(own) == 1 and len(members) <= 1:
+            sent[own[0]] = min(copies * tokens, sum(quotas.get(s, 0) for s in members))
+        else:
+            sources = {s for p in own for s in patterns[p][1]}
+            sent |= _flow({p: patterns[p] for p in own}, {s: quotas[s] for s in quotas if s in sources}, copies)
+    return sent
+
+
+def _flow(patterns: Mapping[str, tuple[int, Sequence[str]]], quotas: Mapping[str, int], copies: int) -> dict[str, int]:
+    """Successive shortest paths with potentials; arcs are source -> pattern copies -> member sources -> sink."""
     names = list(patterns)
     sources = list(quotas)
     at = {s: 1 + len(names) + i for i, s in enumerate(sources)}
@@ -148,10 +174,13 @@ def sized(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id"
 
 
 def totals(rows: DataFrame) -> dict[str, int]:
-    found = rows.groupBy("key").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    return {r["key"]: int(r["size"]) for r in found}
+    """Size of each pattern; one short row a pattern reaches the driver."""
+    return {r["key"]: int(r["size"]) for r in rows.groupBy("key").agg(F.sum("size").alias("size")).collect()}
+
+
+def small(plan: DataFrame, rows: int) -> DataFrame:
+    """A plan of known length, to be broadcast if it is short."""
+    return F.broadcast(plan) if rows <= SMALL else plan
 
 
 def members_of(key: str) -> list[str]:
@@ -160,9 +189,8 @@ def members_of(key: str) -> list[str]:
 
 
 def draw(rows: DataFrame, sizes: Mapping[str, int], quotas: Mapping[str, int], copies: int = 2) -> DataFrame:
-    """(key, whole, cut): each pattern's copies of all its documents, and the last bucket that gets one more.
-
-    At most MAX_PATTERNS short rows, so the result may be broadcast."""
+    """(key, whole, cut): each pattern's copies of all its documents, and the last bucket that gets one more; as many
+    rows as sizes has."""
     spark = rows.sparkSession
     sent = route({k: (n, members_of(k)) for k, n in sizes.items()}, quotas, copies)
     plan = [(k, int(f // sizes[k]) if sizes[k] else 0, int(f % sizes[k]) if sizes[k] else 0) for k, f in sent.items()]
@@ -177,15 +205,15 @@ def draw(rows: DataFrame, sizes: Mapping[str, int], quotas: Mapping[str, int], c
     by_bucket = by_bucket.withColumn("within", F.sum("n").over(inside)).join(whole, ["key", "stretch"])
     by_bucket = by_bucket.select("key", "bucket", "n", (F.col("base") + F.col("within")).alias("upto"))
     # a bucket is in if that brings the total nearer to the rest
-    near = by_bucket.join(F.broadcast(plan), "key").where("rest > 0 and 2 * upto - n <= 2 * rest")
+    near = by_bucket.join(small(plan, len(sizes)), "key").where("rest > 0 and 2 * upto - n <= 2 * rest")
     cut = near.groupBy("key").agg(F.max("bucket").alias("cut"))
     return plan.join(cut, "key", "left").select("key", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
 
 
-def with_copies(rows: DataFrame, drawn: DataFrame, key: Column, bucket: Column, out: str = "copies") -> DataFrame:
-    """rows with column out: how often the mix takes each document."""
+def with_copies(rows: DataFrame, drawn: DataFrame, n: int, key: Column, bucket: Column, out: str = "copies") -> DataFrame:
+    """rows with column out: how often the mix takes each document; drawn has n rows."""
     drawn = drawn.select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    joined = rows.join(F.broadcast(drawn), key == drawn["_key"])
+    joined = rows.join(small(drawn, n), key == drawn["_key"])
     copies = drawn["_whole"] + F.when(bucket <= drawn["_cut"], 1).otherwise(0)
     return joined.select(*(rows[f"`{c}`"] for c in rows.columns if c != out), copies.alias(out))
 

@@ -17,7 +17,7 @@ import math
 import random
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,18 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.llm.common import in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The base patterns and their limits.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match takes whole digit runs, and where one run's start fails, so do all places inside it: none is tried twice.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TRIGGER = re.compile(r"[0-9@]+")
 ATOM = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]")
 MOST_ATOMS = 16
+#: Scores of segments of so many characters are remembered, so many at a time.
+LONGEST_KNOWN, MOST_KNOWN = 64, 50_000
 SPACE = frozenset(" \t\n\x0b\x0c\r")
 
 
@@ -151,10 +156,8 @@ def _email_features(text: str, a: int, at: int, b: int) -> tuple[str, ...]:
 NUMERIC = frozenset(" ().-+")
 
 
-def lattice(text: str, lo: int, hi: int) -> Lattice:
-    """Atoms and candidate segments of text[lo:hi]; surroundings are read from the whole text."""
-    atoms = [m.span() for m in ATOM.finditer(text, lo, hi)]
-    out = Lattice([a for a, _ in atoms] + [hi])
+def candidates(text: str, atoms: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, int]]:
+    """(first atom, end atom, kind, place of the at sign or -1) of all segments that may be an entity."""
     n = len(atoms)
     for i, (a, b) in enumerate(atoms):
         c = text[a]
@@ -171,11 +174,11 @@ def lattice(text: str, lo: int, hi: int) -> Lattice:
                 for y in range(i + 2, right + 1):
                     end = atoms[y - 1][1]
                     if text[end - 1].isalnum() and "." in text[b:end]:
-                        out.segments.append((x, y, "email", _email_features(text, atoms[x][0], a, end)))
+                        yield x, y, "email", a
             continue
         if not ("0" <= c <= "9" or c in "+("):
             continue
-        digits = 0
+        digits = dots = 0
         for j in range(i, min(n, i + MOST_ATOMS)):
             x, y = atoms[j]
             if "0" <= text[x] <= "9":
@@ -184,49 +187,86 @@ def lattice(text: str, lo: int, hi: int) -> Lattice:
                     break
                 if digits < 4:
                     continue
-                s = text[a:y]
-                dotted = s.count(".") == 3 and j - i == 6 and "0" <= c <= "9"
-                if dotted:
-                    out.segments.append((i, j + 1, "ip", _number_features(text, a, y, "ip")))
+                if dots == 3 and j - i == 6 and "0" <= c <= "9":
+                    yield i, j + 1, "ip", -1
                 if digits >= 7:
-                    out.segments.append((i, j + 1, "phone", _number_features(text, a, y, "phone")))
+                    yield i, j + 1, "phone", -1
                 if digits >= 12 and "0" <= c <= "9":
-                    out.segments.append((i, j + 1, "card", _number_features(text, a, y, "card")))
+                    yield i, j + 1, "card", -1
             elif y - x > 1 or text[x] not in NUMERIC or (text[x] == "+" and j > i):
                 break
+            dots += text[x] == "."
+
+
+def features(text: str, a: int, b: int, kind: str, at: int) -> tuple[str, ...]:
+    return _email_features(text, a, at, b) if kind == "email" else _number_features(text, a, b, kind)
+
+
+def lattice(text: str, lo: int, hi: int) -> Lattice:
+    """Atoms and candidate segments of text[lo:hi]; surroundings are read from the whole text."""
+    atoms = [m.span() for m in ATOM.finditer(text, lo, hi)]
+    out = Lattice([a for a, _ in atoms] + [hi])
+    for x, y, kind, at in candidates(text, atoms):
+        out.segments.append((x, y, kind, features(text, atoms[x][0], atoms[y - 1][1], kind, at)))
     return out
 
 
+def _best(n: int, scored: Iterable[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
+    """Entity segments (first atom, end atom, kind) of the best segmentation of n atoms."""
+    by_end = defaultdict(list)
+    for x, y, kind, s in scored:
+        if s > 0:  # nothing else beats the same atoms outside
+            by_end[y].append((x, kind, s))
+    value, came = [0.0] * (n + 1), [None] * (n + 1)
+    for j in range(1, n + 1):
+        value[j] = value[j - 1]
+        for x, kind, s in by_end.get(j, ()):
+            if value[x] + s > value[j]:
+                value[j], came[j] = value[x] + s, (x, kind)
+    out, j = [], n
+    while j:
+        if came[j]:
+            out.append((came[j][0], j, came[j][1]))
+            j = came[j][0]
+        else:
+            j -= 1
+    return out[::-1]
+
+
 class SemiCrf:
     """Weights of segment features; an outside atom scores zero."""
 
     def __init__(self, weights: dict[str, float] | None = None):
         self.weights = weights or {}
+        self.known: dict[tuple, float] = {}
 
     def _score(self, features: tuple[str, ...]) -> float:
         get = self.weights.get
         return sum(get(f, 0.0) for f in features)
 
     def best(self, lat: Lattice) -> list[tuple[int, int, str]]:
-        """Entity segments (first atom, end atom, kind) of the best segmentation."""
-        n = len(lat.places) - 1
-        by_end = defaultdict(list)
-        for x, y, kind, features in lat.segments:
-            by_end[y].append((x, kind, self._score(features)))
-        value, came = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for x, kind, s in by_end.get(j, ()):
-                if value[x] + s > value[j]:
-                    value[j], came[j] = value[x] + s, (x, kind)
-        out, j = [], n
-        while j:
-            if came[j]:
-                out.append((came[j][0], j, came[j][1]))
-                j = came[j][0]
-            else:
-                j -= 1
-        return out[::-1]
+        return _best(len(lat.places) - 1, ((x, y, kind, self._score(f)) for x, y, kind, f in lat.segments))
+
+    def entities(self, text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of the best segmentation of text[lo:hi]; features aren't kept, so long islands are fine."""
+        atoms = [m.span() for m in ATOM.finditer(text, lo, hi)]
+
+        def scored() -> Iterator[tuple[int, int, str, float]]:
+            for x, y, kind, at in candidates(text, atoms):
+                a, b = atoms[x][0], atoms[y - 1][1]
+                # all that features depend on
+                key = (kind, text[a:b], max(at - a, -1), _near(text, a - 1), _near(text, b)) if b - a <= LONGEST_KNOWN else None
+                if key is None or key not in self.known:
+                    value = self._score(features(text, a, b, kind, at))
+                    if key is None:
+                        yield x, y, kind, value
+                        continue
+                    if len(self.known) >= MOST_KNOWN:
+                        self.known.clear()
+                    self.known[key] = value
+                yield x, y, kind, self.known[key]
+
+        return [(atoms[x][0], atoms[y - 1][1], kind) for x, y, kind in _best(len(atoms), scored())]
 
     def _gradient(self, lat: Lattice, truth: set[tuple[int, int, str]], grad: dict[str, float]) -> None:
         """Adds observed minus expected feature counts."""
@@ -261,6 +301,7 @@ class SemiCrf:
                 past[f] += g * g
                 weights[f] += 0.5 * g / math.sqrt(past[f] + 1e-8)
         self.weights = {f: round(w, 6) for f, w in weights.items()}
+        self.known.clear()
         return self
 
 
@@ -327,6 +368,10 @@ def drawn(n: int, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]
     return out
 
 
+#: Characters of the longest island that may be an example.
+LONGEST_EXAMPLE = 200
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -334,15 +379,17 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text and TRIGGER.search(text):
                 spans = base_spans(text)
                 for lo, hi in islands(text):
-                    if hi - lo <= 200 and any(lo <= a and b <= hi for _, a, b in spans):
+                    if hi - lo <= LONGEST_EXAMPLE and any(lo <= a and b <= hi for _, a, b in spans):
                         rows.append(text[max(0, lo - 1) : hi + 1])
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["island"])
 
 
 def fit(docs: DataFrame, text_col: str = "text", max_islands: int = 800, drawn_islands: int = 800) -> SemiCrf:
-    """A model from at most max_islands distinct islands of the corpus, by hash order, and drawn ones."""
+    """A model from at most max_islands distinct islands of the corpus, by hash order, and drawn ones.
+
+    Examples are islands of LONGEST_EXAMPLE characters at most that hold a base span; scanning has no such limit."""
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    found = texts.mapInArrow(_sampled, "island string").groupBy("island").agg(F.xxhash64("island").alias("h"))
+    found = in_arrow(texts, _sampled, "island string").groupBy("island").agg(F.xxhash64("island").alias("h"))
     rows = found.orderBy("h", "island").limit(max_islands).collect()
     sample = [m for r in rows for m in marked(r.island, base_spans(r.island))]
     sample += [m for text, spans in drawn(drawn_islands) for m in marked(text, spans)]
@@ -359,11 +406,7 @@ def find(text: str, model: SemiCrf) -> tuple[list[tuple[str, int, int]], list[tu
     reach = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else starts
     added = []
     for lo, hi in islands(text):
-        lat = lattice(text, lo, hi)
-        if not lat.segments:
-            continue
-        for x, y, kind in model.best(lat):
-            a, b = lat.places[x], lat.places[y]
+        for a, b, kind in model.entities(text, lo, hi):
             i = int(np.searchsorted(starts, b))  # base spans that start before b; none may reach beyond a
             if not i or reach[i - 1] <= a:
                 added.append((kind, a, b))
@@ -387,4 +430,4 @@ def _found(model: SemiCrf):
 def scan(docs: DataFrame, model: SemiCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans): spans as (kind, start, end) in code points, by kind as listed, then start."""
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_found(model), FOUND)
+    return in_arrow(pair, _found(model), FOUND)

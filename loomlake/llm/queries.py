@@ -41,7 +41,7 @@ def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm import secrets
 
-    found = secrets.with_spans(spread(documents(spark, sf_dir)).select("doc_id", "text"))
+    found = secrets.with_spans(spread(documents(spark, sf_dir)), keep=["doc_id"])
     base = F.col("secret_spans.base")
 
     def number(kind: str):
@@ -70,11 +70,11 @@ def source_mix(docs: DataFrame) -> DataFrame:
     from loomlake.llm import mixing
 
     rows, sizes, targets, drawn = source_plan(docs)
-    mixed = mixing.with_copies(rows, drawn, F.col("key"), F.col("bucket"))
+    mixed = mixing.with_copies(rows, drawn, len(sizes), F.col("key"), F.col("bucket"))
     of_source = docs.sparkSession.createDataFrame(
         [(k, sizes[k], float(targets[k])) for k in sizes], "key string, source_size long, target double"
     )
-    return mixed.join(F.broadcast(of_source), "key")  # at most mixing.MAX_PATTERNS rows
+    return mixed.join(mixing.small(of_source, len(sizes)), "key")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

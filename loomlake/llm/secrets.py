@@ -1,13 +1,17 @@
 """Secret scans in DataFrame functions only: fixed patterns, and a randomness test battery for other tokens.
 
 Positions come from cutting the text at the matches: the lengths of the pieces and of the matches, added up, are the
-code point offsets. A token outside the pattern matches has its encoding inferred (hex, base 32, 36, 62 or 64) and
+code point offsets. What the base spans leave of a token has its encoding inferred (hex, base 32, 36, 62 or 64) and
 is tested against a uniform draw from that alphabet: chi-squared over the symbols, runs above and below the middle,
 serial correlation of neighbours; the smallest of the three p-values counts three times. Among all tokens of a
 length class, Benjamini-Hochberg over a histogram of p-values sets structured tokens aside, so that at most
 FALSE_SHARE of those set aside are expected to be random. What is left and carries LEAST_BITS is a `random` span.
 
-Two passes read the texts: one gathers the histogram (bounded: length classes times bins), one returns spans.
+The texts are scanned once: spans and tokens with their p-values are written down, a histogram of them (bounded: length
+classes times bins) gives the cut, and the cut is applied to what was written.
+
+What the cut doesn't set aside is flagged, so tokens too short to be told apart from random ones are flagged as well:
+an error of this kind hides a code or an identifier, one of the other kind shows a key.
 
 Results for odd input: null and empty texts have no spans; equal rows have equal results; null ids are kept; an
 empty table gives no rows; other columns pass through untouched, whatever their names.
@@ -18,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.llm.common import fresh, stored
+
 # The base patterns and the least lengths of their matches.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 12
@@ -32,7 +38,10 @@ ENCODINGS = (
     (r"^(?=.*[a-f])(?=.*[0-9])[0-9a-f]+$", DIGITS + "abcdef"),
     (r"^(?=.*[A-F])(?=.*[0-9])[0-9A-F]+$", DIGITS + "ABCDEF"),
     (r"^(?=.*[A-Z])(?=.*[2-7])[A-Z2-7]+$", UPPER + "234567"),
+    (r"^(?=.*[A-Z])(?=.*[0-9])[0-9A-Z]+$", DIGITS + UPPER),
     (r"^(?=.*[a-z])(?=.*[0-9])[0-9a-z]+$", DIGITS + LOWER),
+    (r"^(?=.*[A-Z])(?=.*[0-9])[0-9A-Z_-]+$", DIGITS + UPPER + "-_"),
+    (r"^(?=.*[a-z])(?=.*[0-9])[0-9a-z_-]+$", DIGITS + LOWER + "-_"),
     (r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     (r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     (r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
@@ -142,10 +151,32 @@ def _length_class(n: Column) -> Column:
     return F.least(F.floor(F.log2(n.cast("double"))).cast("int"), F.lit(16))
 
 
-def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_row, _found): each row as a struct, and its base spans and tested tokens."""
-    df = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    for pattern, out in ((ASSIGN, "_a"), (ACCESS, "_k"), (HEX, "_x"), (TOKEN, "_o")):
+def _blanked(text: Column, spans: Column) -> Column:
+    """text with the spans, in order of their starts, as blanks: offsets stay."""
+    made = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
+            F.struct(
+                s["end"].alias("at"),
+                F.concat(
+                    a["out"],
+                    F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))),
+                    F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], a["at"])),
+                ).alias("out"),
+            )
+        ),
+        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, made).otherwise(text)
+
+
+def scanned(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(_row, _found): the kept columns of each row (all, if not told) as a struct, its base spans and tested tokens."""
+    names = docs.columns if keep is None else keep
+    row = F.struct(*(F.col(f"`{c}`") for c in names)) if names else F.struct(F.lit(0).alias("none"))
+    df = docs.select(row.alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    for pattern, out in ((ASSIGN, "_a"), (ACCESS, "_k"), (HEX, "_x")):
         df = _with_matches(df, "_t", pattern, out)
     long_enough = F.filter("_a", lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= ASSIGN_LEAST)
     spans = F.concat(
@@ -153,9 +184,9 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform("_k", lambda x: _span(x, "access")),
         F.transform("_x", lambda x: _span(x, "hex")),
     )
-    df = df.withColumn("_b", F.array_sort(spans))
-    loose = F.filter("_o", lambda x: ~F.exists("_b", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    df = df.withColumn("_o", F.filter(loose, lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]")))
+    df = df.withColumn("_b", F.array_sort(spans)).withColumn("_t", _blanked(F.col("_t"), F.col("_b")))
+    df = _with_matches(df, "_t", TOKEN, "_o")
+    df = df.withColumn("_o", F.filter("_o", lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]")))
 
     coded = F.transform("_o", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), _alphabet(x["hit"]).alias("symbols")))
     heavy = F.filter(coded, lambda x: F.length(x["hit"]) * F.log2(F.length(x["symbols"]).cast("double")) >= LEAST_BITS)
@@ -183,9 +214,9 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select("_row", F.struct(F.col("_b").alias("base"), tested.alias("tokens")).alias("_found"))
 
 
-def cutoffs(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
-    """By length class the least bin of p-values that is set aside as structured."""
-    tokens = scanned(docs.select(F.col(text_col).alias("text"))).select(F.explode("_found.tokens").alias("x"))
+def cutoffs(found: DataFrame) -> dict[int, int]:
+    """By length class the least bin of p-values that is set aside as structured; found as scanned() gives it."""
+    tokens = found.select(F.explode("_found.tokens").alias("x"))
     rows = tokens.groupBy("x.class", "x.bin").agg(F.count("*").alias("n")).collect()  # at most 17 x 401 rows
     by: dict[int, dict[int, int]] = {}
     for r in rows:
@@ -200,9 +231,12 @@ def cutoffs(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     return cuts
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
-    """docs with struct column out: base and all spans, arrays of (start, rank, end, kind) in order."""
-    cuts = cutoffs(docs, text_col)
+def with_spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of docs (all, if not told) with struct column out: base and all spans, arrays of (start, rank,
+    end, kind) in order. A kept column of the name out is replaced."""
+    names = [c for c in (docs.columns if keep is None else keep) if c != out]
+    found = stored(scanned(docs, text_col, names), "secret-spans")
+    cuts = cutoffs(found)
     limits = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair)) if cuts else None
 
     def keeps(x):
@@ -211,9 +245,9 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans
         return x["bin"] < F.coalesce(limits[x["class"]], F.lit(MOST_BIN + 1))
 
     kept = F.transform(F.filter("_found.tokens", keeps), lambda x: _span(x, "random"))
-    names = [c for c in docs.columns if c != out]
-    return scanned(docs, text_col).select(
-        *(F.col("_row").getField(c).alias(c) for c in names), F.struct(F.col("_found.base").alias("base"), F.array_sort(F.concat(F.col("_found.base"), kept)).alias("all")).alias(out)
+    every = F.array_sort(F.concat(F.col("_found.base"), kept))
+    return found.select(
+        *(F.col("_row").getField(c).alias(c) for c in names), F.struct(F.col("_found.base").alias("base"), every.alias("all")).alias(out)
     )
 
 
@@ -224,15 +258,15 @@ def spelled(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with each run of overlapping spans in the text replaced by the mark; its columns are those of docs."""
-    text = F.col(f"`{text_col}`")
+    text, out = F.col(f"`{text_col}`"), fresh("spans", docs.columns)
     made = F.aggregate(
-        F.col("_spans.all"),
+        F.col(f"{out}.all"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"))
         ),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    new = F.when(F.size("_spans.all") > 0, made).otherwise(text)
-    found = with_spans(docs, text_col, "_spans")
+    new = F.when(F.size(f"{out}.all") > 0, made).otherwise(text)
+    found = with_spans(docs, text_col, out)
     return found.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -5,8 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomlake.llm import mixing
+from loomlake.llm.common import n_words
 from loomlake.llm.queries import op5_mixing, source_mix
 
 
@@ -70,10 +72,40 @@ def test_flow_is_cheapest():
         assert sum(max(0, sent[p] - patterns[p][0]) for p in patterns) == best - once
 
 
+def test_overlapping_sources_from_documents(spark):
+    """Three sources that share documents: every quota is met up to a document a pattern, nothing is taken thrice."""
+    rng = random.Random(8)
+    kinds = [["a"], ["b"], ["a", "b"], ["b", "c"], ["a", "b", "c"]]
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), kinds[rng.randrange(5)]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    rows = mixing.sized(docs, F.col("sources"), n_words("text"))
+    sizes = mixing.totals(rows)
+    assert len(sizes) == 5
+    total = sum(sizes.values())
+    quotas = {'"a"': int(0.3 * total), '"b"': int(0.5 * total), '"c"': int(0.4 * total)}
+    drawn = mixing.draw(rows, sizes, quotas)
+    sent = mixing.route({k: (n, mixing.members_of(k)) for k, n in sizes.items()}, quotas)
+    got = mixing.with_copies(rows, drawn, len(sizes), F.col("key"), F.col("bucket")).collect()
+    assert len(got) == 600 and {r.copies for r in got} <= {0, 1, 2}
+    for k in sizes:
+        assert abs(sum(r["size"] * r.copies for r in got if r.key == k) - sent[k]) <= 30
+    assert sum(sent.values()) == sum(quotas.values())
+
+
+def test_patterns_apart_are_routed_alike():
+    rng = random.Random(3)
+    patterns = {f"p{i}": (rng.randint(1, 9), [f"s{i // 3}", f"s{i // 3 + 10 * (i % 2)}"]) for i in range(12)} | {f"q{i}": (5, [f"t{i}"]) for i in range(4)}
+    quotas = {s: rng.randint(0, 12) for _, m in patterns.values() for s in m}
+    apart, whole = mixing.route(patterns, quotas), mixing._flow(patterns, quotas, 2)
+    assert sum(apart.values()) == sum(whole.values())
+    cost = lambda sent: sum(max(0, sent[p] - patterns[p][0]) for p in patterns)
+    assert cost(apart) == cost(whole)
+
+
 def test_odd_rows(spark):
-    rows = [(1, "a b c", None), (2, None, "x"), (3, "", "x"), (None, "d e", "x"), (4, "f", "x"), (4, "f", "x"), (5, "g h", '"x')]
+    rows = [(1, "a b c", None), (2, None, "x"), (3, "", "x"), (None, "d e", "x"), (4, "f", "x"), (4, "f", "x"), (5, "g h", '"x'), (6, "w " * 200_000, "long")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "'k' as key", "2 as copies")
     got = source_mix(docs).collect()
-    assert len(got) == 7 and sum(r["size"] for r in got) == 3 + 2 + 1 + 1 + 2
+    assert len(got) == 8 and sum(r["size"] for r in got) == 3 + 2 + 1 + 1 + 2 + 200_000
     assert {r.copies for r in got if r.id == 4} <= {0, 1, 2} and len({r.copies for r in got if r.id == 4}) == 1
     assert source_mix(docs.limit(0)).collect() == []

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,7 +30,7 @@ def plain_base(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet="ab.@1+- ()49é\n%", max_size=50))
+@given(st.one_of(st.text(alphabet="ab.@1+- ()49é\n%", max_size=50), st.text(alphabet="12.", max_size=40)))
 def test_base_matches_plain_patterns(text):
     assert pii.base_spans(text) == plain_base(text)
 
@@ -64,6 +65,7 @@ def test_dynamic_programme_and_gradient_against_enumeration():
     best = max(v for v, _ in every)
     scores = {s[:3]: model._score(s[3]) for s in lat.segments}
     assert math.isclose(sum(scores[s] for s in model.best(lat)), best, abs_tol=1e-9)
+    assert model.entities(text, lo, hi) == [(lat.places[x], lat.places[y], k) for x, y, k in model.best(lat)]
     total = sum(math.exp(v) for v, _ in every)
     expected = {}
     for v, p in every:
@@ -88,6 +90,21 @@ def test_model_finds_forms_beyond_the_patterns():
     assert pii.find("in 2024 we sold 12.5 of 3,000 units", model)[1] == []
 
 
+def test_very_long_runs_take_linear_time():
+    """A million characters of each kind that made a pattern or an island look again and again."""
+    model = pii.SemiCrf()
+    for text in ("7" * 10**6, "1." * (5 * 10**5), "1.2 " * 250_000, "a@" * (5 * 10**5), "x" * 10**6 + "@" + "y" * 10**6, "+1" + " " * 10**6, "1 " * (5 * 10**5), "12345678901234567.8." * 50_000):
+        start = time.time()
+        base, spans = pii.find(text, model)
+        assert time.time() - start < 60, text[:10]
+        assert set(base) <= set(spans)
+
+
+def test_ip_pattern_beside_long_runs():
+    for text in ("1" * 500 + ".2.3.4", "1.2.3." + "9" * 400, "1.2.3.4.5.6.7.8", "x1.2.3.4", "99991.2.3.4 0001.2.3.4"):
+        assert pii.base_spans(text) == plain_base(text)
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op10_pii(spark, sf_dir).collect()

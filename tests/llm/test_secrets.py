@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -55,6 +56,67 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[100 + i] for i in range(60)) == 0
 
 
+def plain_tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def plain_spans(texts):
+    """Tokens with their p-values by plain loops, the cut by length class, and the spans that are left."""
+    found = []
+    for n, text in enumerate(texts):
+        base, chars = plain_base(text), list(text)
+        for a, _, b, _ in base:
+            chars[a:b] = " " * (b - a)
+        for m in re.finditer(secrets.TOKEN, "".join(chars)):
+            alphabet = next((x for rule, x in secrets.ENCODINGS if re.search(rule, m[0])), None)
+            if not alphabet or not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]):
+                continue
+            size, k = len(m[0]), len(alphabet)
+            if size * math.log2(k) < secrets.LEAST_BITS:
+                continue
+            codes = [alphabet.index(c) for c in m[0]]
+            chi = max(0.0, k / size * sum(codes.count(v) ** 2 for v in range(k)) - size)
+            z = [abs(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))]
+            turns = sum((a < k / 2) != (b < k / 2) for a, b in zip(codes, codes[1:]))
+            z.append(abs((turns - (size - 1) / 2) / (math.sqrt(size - 1) / 2)))
+            mid = (k - 1) / 2
+            z.append(abs(sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:])) / (math.sqrt(size - 1) * (k * k - 1) / 12)))
+            p = min(1.0, 6 * plain_tail(max(z)))
+            found.append((n, m.start(), m.end(), min(int(math.log2(size)), 16), min(int(-math.log10(max(p, 1e-300)) * 20), 400)))
+    cuts = {}
+    for size in {x[3] for x in found}:
+        bins = [x[4] for x in found if x[3] == size]
+        for b in sorted(set(bins), reverse=True):
+            if b and 10 ** (-b / 20) * len(bins) <= secrets.FALSE_SHARE * sum(x >= b for x in bins):
+                cuts[size] = b
+    return [sorted([*plain_base(t), *((a, 3, b, "random") for n, a, b, size, x in found if n == i and x < cuts.get(size, 401))]) for i, t in enumerate(texts)]
+
+
+def test_random_spans_against_plain_loops(spark):
+    rng = random.Random(11)
+    alphabets = [a for _, a in secrets.ENCODINGS]
+    texts = []
+    for i in range(400):
+        token = "".join(rng.choices(rng.choice(alphabets), k=rng.choice((20, 24, 32, 40, 64, 200))))
+        words = "-".join(rng.choices(["alpha", "beta2", "Gamma", "delta", "epsilon7", "2024"], k=rng.randint(3, 9)))
+        texts.append(rng.choice(("see {t} and {w}", "{w} {t}", "token={t}/{w}", "é {t}_{w}", "{w}")).format(t=token, w=words))
+    texts += ["password=abcdefghijkl0123456789 " + "A1B2" * 9, "deadbeefdeadbeef0123" + "_Zq9" * 12, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.secret_spans.all] for r in secrets.with_spans(docs).collect()}
+    want = plain_spans(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == want[i], (t, got[i], want[i])
+    assert sum(s[3] == "random" for x in want for s in x) > 150
+
+
+def test_columns_of_any_name_stay(spark):
+    text = 'token = "0123456789abcdef0123"'
+    docs = spark.createDataFrame([(1, text, "mine", 7)], "doc_id long, text string, spans string, SPANS_ int").selectExpr("*", "'x' as _spans", "'y' as `a.b`")
+    got = secrets.redacted(docs)
+    assert got.columns == docs.columns
+    assert tuple(got.first()) == (1, '[secret]"', "mine", 7, "x", "y")
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, 'ä token = "0123456789abcdef0123" end'), (2, None), (3, "plain")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
