@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import bpe, mixing, queries, secrets, simhash, toxicity
-from loomlake.llm.common import documents, spread, stored
+from loomlake.llm.common import documents, fresh, spread, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,12 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, those that it repeats twice."""
-    _, _, _, drawn = queries.source_plan(docs)
+    _, sizes, _, drawn = queries.source_plan(docs)
     key = mixing.pattern_key(F.array(F.col("source").cast("string")))
-    taken = mixing.with_copies(docs, drawn, key, mixing.place_of(), "mix copies").where("`mix copies` > 0")
-    repeated = taken.withColumn("mix copy", F.explode(F.sequence(F.lit(1), F.col("`mix copies`"))))
+    copies = fresh("copies", docs.columns)
+    copy = fresh("copy", [*docs.columns, copies])
+    taken = mixing.with_copies(docs, drawn, len(sizes), key, mixing.place_of(), copies).where(f"{copies} > 0")
+    repeated = taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
