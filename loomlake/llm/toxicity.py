@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -88,10 +88,10 @@ class Nearest:
             square += float((((1 + np.log(unknown)) * self.unknown) ** 2).sum())
         return w / math.sqrt(square)
 
-    def build(self, vectors: list[tuple[list[int], list[int]]]) -> Nearest:
+    def build(self, vectors: list[tuple[Sequence[int], Sequence[int]]]) -> Nearest:
         n, n1 = len(vectors), int(self.labels.sum())
         sizes = np.array([len(ts) for ts, _ in vectors], np.int64)
-        own = [np.array(ts, np.int64) for ts, _ in vectors]
+        own = [np.asarray(ts, np.int64) for ts, _ in vectors]
         none = np.empty(0, np.int64)
         term, of = np.concatenate([none, *own]), np.repeat(np.arange(n), sizes)
         df = np.bincount(term, minlength=len(self.terms)).astype(np.float64)
@@ -100,7 +100,7 @@ class Nearest:
         relevance = FLOOR + (1 - FLOOR) * squares / (squares + HALF**2) if 0 < n1 < n else np.ones(len(df))
         self.weight_of = (np.log((n + 1) / (df + 1)) + 1) * relevance
         self.unknown = (math.log(n + 1) + 1) * (FLOOR if 0 < n1 < n else 1.0)
-        weights = [self.weigh(ts, np.array(ns)) if len(ts) else np.empty(0) for ts, (_, ns) in zip(own, vectors)]
+        weights = [self.weigh(ts, np.asarray(ns)) if len(ts) else np.empty(0) for ts, (_, ns) in zip(own, vectors)]
         # examples of one leading word lie together, so that block maxima are near to what single examples have
         lead = np.array([ts[w.argmax()] if len(ts) else len(self.terms) for ts, w in zip(own, weights)], np.int64)
         self.example = np.lexsort((self.ids, lead))  # place -> example
@@ -161,12 +161,12 @@ class Nearest:
         w = cos * cos
         return float((w @ self.labels[ids] + self.shrink * self.base) / (w.sum() + self.shrink))
 
-    def calibrate(self, vectors: list[tuple[list[int], list[int]]]) -> None:
+    def calibrate(self, vectors: list[tuple[Sequence[int], Sequence[int]]]) -> None:
         """Logistic curve over the votes that most_votes examples get from the others; Newton steps on two numbers."""
         votes, labels = [], []
         place = np.argsort(self.example)
         for i in np.argsort([xxhash.xxh64_intdigest(str(x)) for x in self.ids], kind="stable")[: self.most_votes]:
-            ts, ns = (np.array(x, np.int64) for x in vectors[i])
+            ts, ns = (np.asarray(x, np.int64) for x in vectors[i])
             if len(ts):
                 votes.append(self.vote(*self.nearest(ts, self.weigh(ts, ns), place[i])))
                 labels.append(self.labels[i])
@@ -222,17 +222,12 @@ def _logit(p):
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words, a space between, and their counts as 32-bit numbers."""
     for batch in batches:
         counts = [Counter(words_of(t)) for t in byte_texts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(2),
-                pa.array([list(c) for c in counts], pa.list_(pa.binary())),
-                pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())),
-            ],
-            ["id", "label", "words", "counts"],
-        )
+        words = pa.array([b" ".join(c) for c in counts], pa.binary())
+        numbers = pa.array([np.fromiter(c.values(), "<u4", len(c)).tobytes() for c in counts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), words, numbers], ["id", "label", "words", "counts"])
 
 
 def fit(
@@ -256,17 +251,19 @@ def fit(
     # one row a text and label: that of the smallest id
     texts = texts.groupBy("same", "label").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
     texts = stored(texts.select("id", "text", "label"), "toxicity-sample")
-    rows = in_arrow(texts, _vectors, "id long, label int, words array<binary>, counts array<long>").collect()
+    rows = in_arrow(texts, _vectors, "id long, label int, words binary, counts binary").collect()  # the sample
     discard(texts)
     rows.sort(key=lambda r: (r.id, r.label))
-    terms = {w: i for i, w in enumerate(sorted({bytes(w) for r in rows for w in r.words}))}
-    vectors = []
-    for r in rows:
-        found = sorted((terms[bytes(w)], c) for w, c in zip(r.words, r.counts))
-        vectors.append(([t for t, _ in found], [c for _, c in found]))
     ids, own = np.array([r.id for r in rows], np.int64), np.array([r.label for r in rows], np.int64)
-    del rows
-    return Nearest(terms, ids, own, k).build(vectors)
+    terms: dict[bytes, int] = {}
+    vectors = []
+    while rows:  # the texts go as their vectors come
+        r = rows.pop()
+        found = np.array([terms.setdefault(w, len(terms)) for w in bytes(r.words).split()], np.int64)
+        rank = found.argsort()
+        vectors.append((found[rank], np.frombuffer(r.counts, "<u4").astype(np.int64)[rank]))
+    trim()
+    return Nearest(terms, ids, own, k).build(vectors[::-1])
 
 
 SCORED = (
