@@ -12,6 +12,7 @@ from loomlake.memory import Memory
 from loomlake.operators import trees
 from loomlake.plans.catalog import query
 from loomlake.plans.streams import stream
+from loomlake.plans.texts import ENTITIES
 from loomlake.streaming import jobs
 
 
@@ -29,9 +30,7 @@ def embed_default(rows: DataFrame) -> DataFrame:
     return made.select("doc_id", F.size("v").alias("dims"), F.round(vectors.norm("v"), 6).alias("norm"), F.lit(own.signature()).alias("signature"))
 
 
-@query("extract_default", ["sentences"], r"""with e as (select doc_id, 'email' as kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) as surface from sentences
- union all select doc_id, 'url', unnest(regexp_extract_all(text, 'https?://[^\s<>"'')]+')) from sentences union all select doc_id, 'handle', trim(unnest(regexp_extract_all(text, '(?:^|\s)@[A-Za-z0-9_]{2,}'))) from sentences
- union all select doc_id, 'hashtag', trim(unnest(regexp_extract_all(text, '(?:^|\s)#[A-Za-z][A-Za-z0-9_]*'))) from sentences) select distinct doc_id, kind, surface from e""")
+@query("extract_default", ["sentences"], ENTITIES + "select distinct doc_id, kind, surface from e")
 def extract_default(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode(ext.extracted("text")).alias("e")).select("doc_id", "e.kind", "e.surface")
 

@@ -12,10 +12,9 @@ from loomlake.session import fresh_path
 from loomlake.sources import contacts, readers
 
 stand_in("log_lines", "select event_id, case when event_id % 10 = 0 then chr(123) || 'bad' when event_id % 11 = 0 then '  ' else props end as line from {events}")
-stand_in("mails", """select doc_id, 'thread ' || cast(doc_id % 40 as string) as subject, lang || '@mail.com' as sender, doc_id * 60 as sent_at, 'Hi' || chr(10) || substr(text, 1, 200) || chr(10) || 'On Monday Ada wrote:' || chr(10) || '> old' as body, case when doc_id % 3 = 0 then '<mailto:out@x>' else null end as unsubscribe from {documents}""")
 #: Whole texts as bodies, 40 mails a thread at any size of the table.
-stand_in("whole_mails", """select doc_id, 'thread ' || cast(cast(floor(doc_id / 40) as bigint) as string) as subject, lang || '@mail.com' as sender, doc_id * 60 as sent_at, 'Hi' || chr(10) || text || chr(10) || 'On Monday Ada wrote:' || chr(10) || '> old' as body, case when doc_id % 3 = 0 then '<mailto:out@x>' else null end as unsubscribe from {documents}""")
-stand_in("raw_documents", """select doc_id, case doc_id % 4 when 0 then cast(doc_id * 1000 as string) when 1 then '2024-01-02T03:04:05' when 2 then 'soon' else null end as stamp, case when doc_id % 5 = 0 then null else source end as provider, substr(text, 1, 100) as body from {documents}""")
+stand_in("mails", """select doc_id, 'thread ' || cast(cast(floor(doc_id / 40) as bigint) as string) as subject, lang || '@mail.com' as sender, doc_id * 60 as sent_at, 'Hi' || chr(10) || text || chr(10) || 'On Monday Ada wrote:' || chr(10) || '> old' as body, case when doc_id % 3 = 0 then '<mailto:out@x>' else null end as unsubscribe from {documents}""")
+stand_in("raw_documents", """select doc_id, case doc_id % 4 when 0 then cast(doc_id * 1000 as string) when 1 then '2024-01-02T03:04:05' when 2 then 'soon' else null end as stamp, case when doc_id % 5 = 0 then null else source end as provider, text as body from {documents}""")
 stand_in("responses", "select doc_id, 'Subject A' || chr(10) || 'body ' || cast(doc_id as string) || chr(10) || '---' || chr(10) || 'Subject B' || chr(10) || '## Subject C' || chr(10) || 'x' as markdown from {documents}")
 stand_in("marked_turns", "select user_id as session_id, event_id as turn, @sec(ts) as sec, event_type = 'error' as marker from {events}")
 
@@ -46,9 +45,6 @@ def src_email(mails: DataFrame) -> DataFrame:
     return by.select("subject", "n", "first_sent", F.md5(F.array_join(F.transform("l", lambda x: x["m"]), "\n")).alias("h"))
 
 
-query("src_email_whole", ["whole_mails"])(src_email)
-
-
 @query("src_document", ["raw_documents"], """select doc_id, coalesce(provider, 'unknown') as provider, case when regexp_matches(stamp, '^[0-9]+$') then cast(stamp as bigint) when try_strptime(stamp, '%Y-%m-%dT%H:%M:%S') is not null then epoch_ms(try_strptime(stamp, '%Y-%m-%dT%H:%M:%S')) else 1700000000000 end as ts_ms from raw_documents""")
 def src_document(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("provider", F.lit("unknown")).alias("provider"), readers.document_time(F.col("stamp"), F.lit(1_700_000_000_000)).alias("ts_ms"))
@@ -109,16 +105,27 @@ def f_chunk_md(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(chunk_markdown(225)("text")).alias("c")).select("doc_id", "c.index", "c.heading", F.octet_length("c.content").alias("bytes"), F.md5("c.content").alias("h"))
 
 
-@query("f_email_clean", ["mails"], "select doc_id, md5(trim(regexp_replace(regexp_replace(split_part(body, chr(10) || 'On Monday', 1), '[ \\t\\r\\x0B\\f]+(\\n|$)', '\\1', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(10))) as h from mails")
+def _email_sql() -> str:
+    """Lines up to the first that begins a reply chain or footer, blank runs collapsed."""
+    from loomlake.functions.pandas_text import FOOTER, FOOTER_TRIGGERS, REPLY
+
+    blank = "chr(32) || chr(9) || chr(13) || chr(11) || chr(12) || chr(10)"
+    marks = " or ".join(f"contains(lower(l[i]), '{t.replace(chr(39), chr(39) * 2)}')" for t in FOOTER_TRIGGERS)
+    ends = " or ".join(f"regexp_matches(trim(l[i], {blank}), '(?i){form.pattern}')" for form in (REPLY, FOOTER))
+    quoted = " and ".join(f"starts_with(trim(l[i + {k}], {blank}), '>')" for k in range(3))
+    return f"""with m as (select doc_id, string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10)) as l from mails),
+ c as (select doc_id, l, list_filter(range(1, len(l) + 1), lambda i: {ends} or {marks} or (i + 2 <= len(l) and {quoted})) as stops from m),
+ k as (select doc_id, array_to_string(list_transform(list_slice(l, 1, coalesce(stops[1] - 1, len(l))), lambda x: rtrim(x, {blank})), chr(10)) as own from c)
+ select doc_id, md5(trim(regexp_replace(own, '\\n\\n\\n+', chr(10) || chr(10), 'g'), {blank})) as h from k"""
+
+
+@query("f_email_clean", ["mails"], _email_sql())
 def f_email_clean(mails: DataFrame) -> DataFrame:
     from loomlake.functions.pandas_text import clean_email
 
     return mails.select("doc_id", F.md5(clean_email("body")).alias("h"))
 
 
-query("f_email_clean_whole", ["whole_mails"])(f_email_clean)
-
-
 @query("f_vec_codec", ["embeddings"], "select vec_id, cast(len(embedding) * 4 as integer) as bytes, true as same from embeddings")
 def f_vec_codec(rows: DataFrame) -> DataFrame:
     from loomlake.functions.pandas_text import pack_vector, unpack_vector
@@ -169,18 +176,6 @@ def f_mixed_grams(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", F.size(mixed_grams(F.lower("p_name"))).alias("grams"))
 
 
-RELATION = r"(?i)\b([A-Z][a-z]+|I) (prefer|live in|own|use|work at)s? ([A-Za-z]+)"
-
-
-@query("f_relations", ["sentences"], r"""with m as (select doc_id, unnest(regexp_extract_all(text, '(?i)\b([A-Z][a-z]+|I) (prefer|live in|own|use|work at)s? ([A-Za-z]+)')) as m from sentences)
- select doc_id, upper(regexp_extract(m, '(?i)\b([A-Z][a-z]+|I) (prefer|live in|own|use|work at)s? ([A-Za-z]+)', 1)) as subject, upper(replace(regexp_extract(m, '(?i)\b([A-Z][a-z]+|I) (prefer|live in|own|use|work at)s? ([A-Za-z]+)', 2), ' ', '_')) as predicate,
- upper(regexp_extract(m, '(?i)\b([A-Z][a-z]+|I) (prefer|live in|own|use|work at)s? ([A-Za-z]+)', 3)) as object from m""")
-def f_relations(rows: DataFrame) -> DataFrame:
-    hits = rows.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(RELATION), F.lit(0))).alias("m"))
-    part = lambda i: F.upper(F.regexp_extract("m", RELATION, i))
-    return hits.select("doc_id", part(1).alias("subject"), F.replace(part(2), F.lit(" "), F.lit("_")).alias("predicate"), part(3).alias("object"))
-
-
 @query("f_signature", ["mails"], "select doc_id, lang || '@mail.com' as email, 'Ada Byron' as name, 'Engineer' as role, 'Example Ltd' as employer from mails join documents using (doc_id)")
 def f_signature(mails: DataFrame) -> DataFrame:
     from loomlake.functions.signature import facts

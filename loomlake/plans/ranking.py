@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -198,19 +198,9 @@ def routing_log(usage: DataFrame) -> DataFrame:
     return by.agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("tokens"), F.round(F.avg("cost_usd"), 4).alias("mean_cost"))
 
 
-@query("transcript_day", ["messages"], """select conv_id, cast(min(floor(sec / 86400.0)) as bigint) as first_day, cast(max(floor(sec / 86400.0)) as bigint) as last_day, md5(string_agg(role || ': ' || substr(body, 1, 60), chr(10) order by turn)) as transcript from messages group by 1""")
+@query("transcript_day", ["messages"], """select conv_id, cast(min(floor(sec / 86400.0)) as bigint) as first_day, cast(max(floor(sec / 86400.0)) as bigint) as last_day, md5(string_agg(role || ': ' || body, chr(10) order by turn)) as transcript from messages group by 1""")
 def transcript_day(messages: DataFrame) -> DataFrame:
-    return _transcript_days(messages, F.substring("body", 1, 60))
-
-
-@query("transcript_day_whole", ["messages"])
-def transcript_day_whole(messages: DataFrame) -> DataFrame:
-    """The joined transcript of whole messages; transcript_day keeps to the 60 characters of its SQL."""
-    return _transcript_days(messages, F.col("body"))
-
-
-def _transcript_days(messages: DataFrame, body: Column) -> DataFrame:
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", body).alias("line"))))
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "body").alias("line"))))
     by = messages.groupBy("conv_id").agg(F.min(F.floor(F.col("sec") / 86_400)).alias("first_day"), F.max(F.floor(F.col("sec") / 86_400)).alias("last_day"), lines.alias("l"))
     return by.select("conv_id", "first_day", "last_day", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("transcript"))
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import with_one
 from loomlake.functions import text as fn
+from loomlake.operators import relations
 from loomlake.plans.catalog import query, stand_in
 
-stand_in("noisy_lines", """select doc_id, case doc_id % 4 when 0 then chr(27) || '[31mred' || chr(27) || '[0m ' || substr(text, 1, 80) when 1 then chr(10) || '  ' || chr(10) || 'a' || chr(10) || 'a' || chr(10) || 'b  ' || chr(10) || chr(10)
-    when 2 then 'x' || chr(13) || chr(10) || 'y' || chr(13) || chr(10) || 'y' else text end as text from {documents}""")
+stand_in("noisy_lines", """select doc_id, case doc_id % 6 when 0 then chr(27) || '[31mred' || chr(27) || '[0m ' || text when 1 then chr(10) || '  ' || chr(10) || 'a' || chr(10) || 'a' || chr(10) || 'b  ' || chr(10) || text || chr(10) || chr(10)
+    when 2 then 'x' || chr(13) || chr(10) || 'y' || chr(13) || chr(10) || 'y' || chr(13) || chr(10) || text when 3 then chr(27) || ']0;title' || chr(7) || text || chr(27) || ']8;;http://x' || chr(27) || chr(92) || 'link' || chr(27) || ']2;never ends'
+    when 4 then chr(27) || 'M' || text || chr(27) || '[1m' || chr(27) || chr(10) || chr(27) || '[12;4' else text end as text from {documents}""")
 stand_in("words_list", "select event_id, case event_id % 6 when 0 then 'box' when 1 then 'city' when 2 then 'day' when 3 then 'match' when 4 then 'file' else 'bus' end as word, event_id % 3 as n from {events}")
 stand_in("stamps", """select o_orderkey, case o_orderkey % 4 when 0 then '2024-03-0' || cast(1 + o_custkey % 9 as string) || 'T10:11:12' when 1 then '2023-12-1' || cast(o_custkey % 10 as string) || ' 08:00:01'
     when 2 then '2022-07-2' || cast(o_custkey % 9 as string) else 'not a date' end as stamp, o_orderdate as ts, o_orderpriority as label from {orders}""")
@@ -100,7 +102,8 @@ def f_extract_email(rows: DataFrame) -> DataFrame:
     return rows.select("c_custkey", fn.bracket_email(raw).alias("email"))
 
 
-@query("f_strip_ansi", ["noisy_lines"], r"select doc_id, md5(regexp_replace(text, '\x1b\[[0-?]*[ -/]*[@-~]', '', 'g')) as h from noisy_lines")
+@query("f_strip_ansi", ["noisy_lines"], r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)', '', 'g'),
+ '\x1b\[[0-?]*[ -/]*[@-~]', '', 'g'), '\x1b\][^\x07\x1b]*\z', '', 'g'), '\x1b\[[0-?]*[ -/]*\z', '', 'g'), '\x1b[@-_]', '', 'g'), '\x1b', '', 'g')) as h from noisy_lines""")
 def f_strip_ansi(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.md5(fn.strip_ansi("text")).alias("h"))
 
@@ -146,15 +149,25 @@ def f_pluralize(rows: DataFrame) -> DataFrame:
     return rows.groupBy("word", "n").agg(F.count("*").alias("uses")).select("word", "n", fn.pluralize("word", "n").alias("plural"), "uses")
 
 
-@query("f_redact_secrets", ["sentences"], r"""select doc_id, regexp_replace(regexp_replace(text, '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{8,}', '\1[REDACTED]', 'g'),
- '(?i)\b(token|access[_-]?token|refresh[_-]?token|client[_-]?secret|password|secret)\b\s*[=:\s]\s*["'']?[^\s"''&]+', '[REDACTED]', 'g') as body from sentences""")
+def _replaced(sql: str, forms) -> str:
+    """SQL that replaces each (pattern, mark) in turn."""
+    for pattern, mark in forms:
+        sql = f"regexp_replace({sql}, '{pattern.replace(chr(39), chr(39) * 2)}', '{mark.replace('$1', chr(92) + '1')}', 'g')"
+    return sql
+
+
+SECRETS = [*((p, fn.REDACTED) for p in fn.SECRET_BLOCKS), *fn.SECRET_FORMS]
+
+
+@query("f_redact_secrets", ["leaks"], f"select doc_id, md5({_replaced('text', SECRETS)}) as h, contains({_replaced('text', SECRETS)}, '[REDACTED]') as found from leaks")
 def f_redact_secrets(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", fn.redact_secrets("text").alias("body"))
+    made = rows.select("doc_id", fn.redact_secrets("text").alias("body"))
+    return made.select("doc_id", F.md5("body").alias("h"), F.contains("body", F.lit("[REDACTED]")).alias("found"))
 
 
 @query("f_sanitize", ["documents"])
 def f_sanitize(docs: DataFrame) -> DataFrame:
-    """Secrets, then personal data, with counts a class, over whole texts; f_redact_secrets keeps to its SQL's columns."""
+    """Secrets, then personal data, with counts a class."""
     made = docs.select("doc_id", fn.sanitized("text").alias("s"))
     return made.select("doc_id", F.md5("s.text").alias("h"), *(f"s.{k}" for k in fn.SANITIZED))
 
@@ -181,7 +194,7 @@ def _quoted(phrases) -> str:
     return "|".join(phrases).replace("'", "''")
 
 
-@query("f_candidates", ["sentences"], f"""with p as (select doc_id, text, lower(text) as l, doc_id % 2 = 0 as u from sentences where length(trim(text)) >= 20 and regexp_replace(lower(trim(text)), '[.!?]+$', '') not in ('thanks'))
+@query("f_candidates", ["sentences"], f"""with p as (select doc_id, text, lower(text) as l, doc_id % 2 = 0 as u from sentences where length(trim(text)) >= 20 and regexp_replace(lower(trim(text)), '[.!?]+$', '') not in ({', '.join(repr(x) for x in fn.FILLERS)}))
  select doc_id, substr(text, 1, 400) as snippet, case when u and regexp_matches(l, '{_quoted(fn.CANDIDATE_PHRASES["preference"])}') then 'preference' when u and regexp_matches(l, '{_quoted(fn.CANDIDATE_PHRASES["commitment"])}') then 'commitment'
  when regexp_matches(l, '{_quoted(fn.CANDIDATE_PHRASES["decision"])}') then 'decision' else 'unresolved' end as kind from p
  where (u and regexp_matches(l, '{_quoted(fn.CANDIDATE_PHRASES["preference"] + fn.CANDIDATE_PHRASES["commitment"])}')) or regexp_matches(l, '{_quoted(fn.CANDIDATE_PHRASES["decision"] + fn.CANDIDATE_PHRASES["unresolved"])}')""")
@@ -199,8 +212,14 @@ def f_reflections(rows: DataFrame) -> DataFrame:
     return found.union(often)
 
 
-@query("f_injection", ["sentences"], """with t as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as l from sentences), d as (select doc_id, l, translate(l, '0134$@', 'oleasa') as p from t),
- s as (select doc_id, """ + " + ".join(f"case when regexp_matches(l, '{p}') or regexp_matches(p, '{p}') then {w} else 0 end" for w, p in fn.ATTACKS) + """ as s from d)
+def _hit(texts: str, phrases) -> str:
+    return " or ".join(f"contains({t}, '{p}')" for t in texts.split() for p in phrases)
+
+
+@query("f_injection", ["sentences"], f"""with t as (select doc_id, lower(text) as l, translate(lower(text), '{''.join(fn.ALIKE | fn.WIDE).replace("'", "''")}{fn.INVISIBLE}', '{''.join((fn.ALIKE | fn.WIDE).values()).replace("'", "''")}') as c from sentences),
+ d as (select doc_id, l, trim(regexp_replace(regexp_replace(c, '[^A-Za-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as p from t), e as (select *, replace(p, ' ', '') as q from d),
+ s as (select doc_id, case when {_hit('p', fn.OVERRIDES)} or {_hit('q', [x.replace(' ', '') for x in fn.OVERRIDES])} then {fn.OVERRIDE_WEIGHT} else 0 end + case when {_hit('p', fn.TARGETS)} or (contains(p, 'reveal') and ({_hit('p', fn.HINTS)})) then {fn.TARGET_WEIGHT} else 0 end + """
+ + " + ".join(f"case when regexp_matches(l, '{p}') or regexp_matches(p, '{p}') or regexp_matches(q, '{p}') then {w} else 0 end" for w, p in fn.ATTACKS) + """ as s from e)
  select doc_id, round(cast(least(s, 1) as double), 6) as score, case when s >= 0.7 then 'block' when s >= 0.55 then 'review' else 'allow' end as verdict from s""")
 def f_injection(rows: DataFrame) -> DataFrame:
     scored = rows.select("doc_id", fn.attack_score("text").alias("score"))
@@ -217,9 +236,13 @@ def f_canonical_handle(rows: DataFrame) -> DataFrame:
     return rows.select("c_custkey", fn.canonical_handle("kind", "value").alias("handle"))
 
 
-@query("f_extract_entities", ["sentences"], r"""with e as (select doc_id, 'email' as kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) as surface from sentences
- union all select doc_id, 'url', unnest(regexp_extract_all(text, 'https?://[^\s<>"'')]+')) from sentences union all select doc_id, 'handle', trim(unnest(regexp_extract_all(text, '(?:^|\s)@[A-Za-z0-9_]{2,}'))) from sentences
- union all select doc_id, 'hashtag', trim(unnest(regexp_extract_all(text, '(?:^|\s)#[A-Za-z][A-Za-z0-9_]*'))) from sentences) select doc_id, kind, surface, count(*) as n from e group by 1, 2, 3""")
+ENTITIES = """with e as (select doc_id, 'email' as kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) as surface from sentences
+ union all select doc_id, 'url', unnest(regexp_extract_all(text, 'https?://[^\\s<>"'')]+')) from sentences union all select doc_id, 'handle', unnest(regexp_extract_all(text, '(?:^|[\\s(])(@[A-Za-z0-9_][A-Za-z0-9_.\\-]+)', 1)) from sentences
+ union all select doc_id, 'handle', unnest(regexp_extract_all(text, '\\b[A-Za-z0-9_.\\-]{2,32}#[0-9]{4}\\b')) from sentences
+ union all select doc_id, 'hashtag', unnest(regexp_extract_all(text, '(?:^|[\\s(])(#[A-Za-z][A-Za-z0-9_\\-]*)', 1)) from sentences) """
+
+
+@query("f_extract_entities", ["sentences"], ENTITIES + "select doc_id, kind, surface, count(*) as n from e group by 1, 2, 3")
 def f_extract_entities(rows: DataFrame) -> DataFrame:
     found = rows.select("doc_id", F.explode(fn.entities("text")).alias("e"))
     return found.groupBy("doc_id", "e.kind", "e.surface").agg(F.count("*").alias("n"))
@@ -227,7 +250,7 @@ def f_extract_entities(rows: DataFrame) -> DataFrame:
 
 @query("f_entity_spans", ["documents"])
 def f_entity_spans(docs: DataFrame) -> DataFrame:
-    """Entities and topics of whole documents with their spans; f_extract_entities keeps to its SQL's columns."""
+    """Entities and topics with their spans."""
     from loomlake.functions.pandas_text import entity_spans
 
     return docs.select("doc_id", F.explode(entity_spans("text")).alias("e")).select("doc_id", "e.*")
@@ -265,17 +288,57 @@ def low_quality(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", fn.low_quality("text").alias("low"))
 
 
-@query("f_normalize", ["documents"], "select doc_id, md5(translate(strip_accents(lower(substr(text, 1, 400))), 'ł', 'l')) as h from documents where not regexp_matches(text, '[ßæœøþðđħıŋ]')")
+FOLDS = "strip_accents(lower(text))"
+for _letter, _plain in fn.FOLDED.items():
+    FOLDS = f"replace({FOLDS}, '{_letter}', '{_plain}')"
+
+
+@query("f_normalize", ["documents"], f"select doc_id, md5({FOLDS}) as h from documents")
 def f_normalize(docs: DataFrame) -> DataFrame:
     from loomlake.functions.pandas_text import normalize
 
-    plain = docs.where(~F.col("text").rlike("[ßæœøþðđħıŋ]"))
-    return plain.select("doc_id", F.md5(normalize(F.substring("text", 1, 400))).alias("h"))
+    return docs.select("doc_id", F.md5(normalize("text")).alias("h"))
+
 
+def _type(name: str) -> str:
+    """SQL for the type of a name in column name, its upper case in up_name, its person in person_name."""
+    marks = " ".join(f"when regexp_matches(up_{name}, '{'|'.join(m)}') then '{kind}'" for kind, m in fn.TYPE_MARKS)
+    return (
+        f"case when regexp_matches({name}, '{fn.DATE}') then 'DATE' when contains(up_{name}, '@') then 'ORGANIZATION' when person_{name} is not null or regexp_matches({name}, '{fn.PERSON_NAME}') then 'PERSON' {marks} "
+        f"when ends_with(up_{name}, 'CORE') then 'ORGANIZATION' when regexp_matches(up_{name}, '[-_]') and not contains(up_{name}, ' ') then 'PROJECT' else 'TOPIC' end"
+    )
 
-@query("f_normalize_whole", ["documents"])
-def f_normalize_whole(docs: DataFrame) -> DataFrame:
-    """Whole texts of all documents; f_normalize keeps to what its SQL can fold."""
-    from loomlake.functions.pandas_text import normalize
 
-    return docs.select("doc_id", F.md5(normalize("text")).alias("h"))
+def _clean(x: str) -> str:
+    edge = r"[\s\-:;,.\"\'()]+".replace("\\'", "''").replace('\\"', '"')
+    return f"upper(trim(regexp_replace(regexp_replace({x}, '^{edge}|{edge}$', '', 'g'), '\\s+', ' ', 'g')))"
+
+
+def _facts_sql() -> str:
+    parts = []
+    for form, subject, predicate, object_ in fn.FACT_FORMS:
+        name = f"regexp_extract(c, '{form}', {predicate})" if isinstance(predicate, int) else f"regexp_extract(c, '{form}', 2) || '_of'" if "{}" in predicate else f"'{predicate}'"
+        parts.append(f"select doc_id, regexp_extract(c, '{form}', {subject}) as subject, upper({name}) as predicate, regexp_replace(regexp_extract(c, '{form}', {object_}), '[:;,.\\s]+$', '') as object from l where regexp_matches(c, '{form}')")
+    return " union all ".join(parts)
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+RELATIONS = f"""with l as (select doc_id, i as pos, lines[i] as line, trim(regexp_replace(lines[i], '^\\s*-+\\s*', '')) as c from (select doc_id, string_split(text, chr(10)) as lines from fact_lines) x, unnest(range(1, len(lines) + 1)) u(i)),
+ h as (select doc_id, pos, regexp_extract_all(regexp_extract(line, '{fn.HEADER}', 1), '{fn.NAMED_ADDRESS}', 1) as names from l where regexp_matches(line, '{fn.HEADER}')),
+ n as (select doc_id, pos * 1000 + j as place, {_clean('names[j]')} as person from h, unnest(range(1, len(names) + 1)) v(j)),
+ a as (select doc_id, alias, arg_min(person, place) as person from (select doc_id, place, person, person as alias from n union all select doc_id, place, person, split_part(person, ' ', 1) from n) y where person <> '' group by 1, 2),
+ f as ({_facts_sql()}), g as (select f.*, {_clean('subject')} as up_subject, {_clean('object')} as up_object from f),
+ k as (select g.*, s.person as person_subject, o.person as person_object from g left join a s on s.doc_id = g.doc_id and s.alias = up_subject left join a o on o.doc_id = g.doc_id and o.alias = up_object),
+ t as (select *, {_type('subject')} as subject_type, {_type('object')} as object_type from k),
+ r(predicate, canonical, heads, tails) as (values {', '.join(f"('{p}', '{c}', {_list(h)}, {_list(t)})" for p, (c, h, t) in fn.RELATIONS.items())}),
+ z as (select doc_id, case when subject_type = 'PERSON' then coalesce(person_subject, up_subject) else up_subject end as subject, subject_type, canonical as predicate, case when object_type = 'PERSON' then coalesce(person_object, up_object) else up_object end as object, object_type
+ from t join r using (predicate) where list_contains(heads, subject_type) and list_contains(tails, object_type))
+ select * from z where subject <> '' and object <> '' and subject <> object"""
+
+
+@query("f_relations", ["fact_lines"], RELATIONS)
+def f_relations(docs: DataFrame) -> DataFrame:
+    return relations.relations(docs)
