@@ -59,22 +59,55 @@ def vec_search(rows: DataFrame, query: Sequence[float], k: int, floor: float | N
     return hits.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def gram_match(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
-    """(key, matched, score): documents holding the terms as substrings; repeated terms count each time.
-
-    Trigrams of a term must all be in the document before the text itself is looked at."""
+def grams(term: str) -> list[str]:
+    return sorted({term[i : i + 3] for i in range(len(term) - 2)})
+
+
+def gram_index(docs: DataFrame, key: str, text: str, only: Sequence[str] | None = None) -> DataFrame:
+    """(gram, key): postings of the distinct trigrams of lower-case texts, or of some only; a stored index is all of
+    them, laid out by gram."""
+    chars = docs.select(key, F.split(F.lower(text), "").alias("c"))
+    places = F.when(F.size("c") >= 3, F.sequence(F.lit(0), F.size("c") - 3)).otherwise(F.array().cast("array<int>"))
+    own = F.array_distinct(F.transform(places, lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2))))
+    if only is not None:
+        own = F.array_intersect(own, F.array(*(F.lit(g) for g in only)))
+    return chars.select(F.explode(own).alias("gram"), key)
+
+
+def candidates(index: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
+    """(key): documents whose postings have all trigrams of some term."""
+    held = index.where(F.col("gram").isin(*{g for t in terms for g in grams(t)})).groupBy(key).agg(F.collect_set("gram").alias("held"))  # a few grams a document
+    hit = F.lit(False)
+    for t in terms:
+        own = F.array(*(F.lit(g) for g in grams(t)))
+        hit = hit | (F.size(F.array_intersect("held", own)) == len(grams(t)))
+    return held.where(hit).select(key)
+
+
+def gram_match(docs: DataFrame, key: str, text: str, at: str, terms: Sequence[str], index: DataFrame | None = None, guard: int = 10_000) -> DataFrame:
+    """(key, at, matched, score): documents holding the terms as substrings; repeated terms count each time.
+
+    Candidates come from the trigram postings, and only their texts are looked at. With more candidates than guard all
+    of them are returned with score 0, so that the newest come first. Terms under three bytes are not searched."""
+    terms = [t.lower() for t in terms if len(t.encode()) >= 3]
+    wanted = sorted({g for t in terms for g in grams(t)})
+    found = candidates(gram_index(docs, key, text, wanted) if index is None else index, key, sorted({t for t in terms if grams(t)}))
+    many = found.agg(F.count("*").alias("n"))  # one row
     low = F.lower(text)
-    hits = [F.contains(low, F.lit(t)).cast("int") for t in terms if len(t.encode()) >= 3]
-    total = sum(hits[1:], hits[0])
-    rows = docs.select(key, total.alias("matched")).where("matched > 0")
-    return rows.withColumn("score", F.round(F.col("matched") / len(hits), 6))
+    total = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
+    rows = docs.select(key, at, text).join(found, key).select(key, at, total.alias("hits")).transform(with_one, many)
+    full = F.col("n") > guard
+    rows = rows.where(full | (F.col("hits") > 0)).select(key, at, F.when(full, 0).otherwise(F.col("hits")).alias("matched"))
+    return rows.withColumn("score", F.round(F.col("matched") / max(1, len(terms)), 6))
 
 
 def hybrid(branches: dict[str, DataFrame], key: str) -> DataFrame:
-    """Weighted mean of branch scores (key, score) within 0 and 1 over the branches that know the document."""
+    """(key, a column a branch, final, signals): weighted mean of branch scores (key, score), held within 0 and 1, over
+    the branches that know the document."""
     tagged = None
     for name, rows in branches.items():
         part = rows.select(key, F.lit(name).alias("branch"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"), F.lit(HYBRID[name]).alias("w"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    by = tagged.groupBy(key).agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("final"), F.count("*").alias("signals"))
-    return by.withColumn("final", F.round("final", 6))
+    shown = [F.round(F.max(F.when(F.col("branch") == name, F.col("score"))), 6).alias(name) for name in branches]
+    final = F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 6)
+    return tagged.groupBy(key).agg(*shown, final.alias("final"), F.count("*").alias("signals"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from loomlake.functions.scalars import with_one
+from loomlake.functions.vectors import cosine
+
 TOKEN_BUDGET, FAN_OUT, MOST_LEVELS = 50_000, 10, 32
 
 
@@ -46,12 +49,58 @@ def sealed(groups: DataFrame, tree: str, tokens: str, first: str, budget: int =
 
 
 def sealed_up(level0: DataFrame, tree: str, fan_out: int = FAN_OUT) -> DataFrame:
-    """(tree, level, node, children): full groups of fan_out siblings, level by level.
-
-    Nodes of a level are numbered from 0, so a parent is the number over fan_out, and the levels follow from a count."""
-    counts = level0.groupBy(tree).agg(F.count("*").alias("n"))
-    levels = F.transform(F.sequence(F.lit(1), F.lit(MOST_LEVELS)), lambda l: F.struct(l.alias("level"), F.floor(F.col("n") / F.pow(F.lit(float(fan_out)), l.cast("double"))).alias("nodes")))
-    return counts.select(tree, F.explode(F.filter(levels, lambda x: x["nodes"] > 0)).alias("x")).select(tree, "x.level", F.col("x.nodes").alias("nodes"))
+    """(tree, level, node, children, tokens, first_id, last_id): parents of full groups of fan_out siblings, all levels.
+
+    Nodes of a level are numbered from 0 without gaps, so the node above a group is its number over fan_out ** level,
+    and a parent is sealed if it has that many groups below. A group counts in one row a level."""
+    n = F.count("*").over(Window.partitionBy(tree))
+    top = F.floor(F.log(n.cast("double")) / F.log(F.lit(float(fan_out))) + 1e-9)
+    levels = F.filter(F.sequence(F.lit(1), F.lit(MOST_LEVELS)), lambda l: l <= F.col("top"))
+    rows = level0.withColumn("top", top).withColumn("level", F.explode(levels))
+    span = F.pow(F.lit(float(fan_out)), F.col("level").cast("double")).cast("long")
+    by = rows.groupBy(tree, "level", F.floor(F.col("grp") / span).alias("node")).agg(
+        F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")
+    )
+    own = F.sequence(F.col("node") * fan_out, F.col("node") * fan_out + fan_out - 1)
+    children = F.array_join(F.transform(own, lambda c: c.cast("string")), ",")
+    return by.where(F.col("n") == span).select(tree, "level", "node", children.alias("children"), "tokens", "first_id", "last_id")
+
+
+# Days of a week, weeks of a month and months of a year, as sealing counts them.
+CALENDAR = (("week", 7), ("month", 4), ("year", 12))
+
+
+def calendar_seal(days: DataFrame, tree: str, day: str) -> DataFrame:
+    """(tree, level, node, days, first, last): full weeks of days, full months of weeks and full years of months.
+
+    Sealing counts what there is, so a node is a run of so many consecutive rows; a day is one row a level."""
+    sizes, size = [], 1
+    for name, n in CALENDAR:
+        size *= n
+        sizes.append(F.struct(F.lit(name).alias("level"), F.lit(size).alias("size")))
+    rn = F.row_number().over(Window.partitionBy(tree).orderBy(day)) - 1
+    rows = days.withColumn("rn", rn).withColumn("x", F.explode(F.array(*sizes))).select("*", "x.level", "x.size")
+    by = rows.groupBy(tree, "level", "size", F.floor(F.col("rn") / F.col("size")).alias("node")).agg(F.count("*").alias("days"), F.min(day).alias("first"), F.max(day).alias("last"))
+    return by.where(F.col("days") == F.col("size")).select(tree, "level", "node", "days", "first", "last")
+
+
+def recap(nodes: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """The nodes (level, time_end, ...) that cover the last so many days, for each window, at the level that suits its
+    length or else the highest one below that has any."""
+    now = nodes.agg(F.max("time_end").alias("now"))  # one row
+    days = nodes.sparkSession.createDataFrame([(d,) for d in windows], "days int").withColumn("wanted", pick_level(F.col("days")))
+    have = nodes.select(F.col("level").alias("have")).distinct()  # levels are few: MOST_LEVELS at most
+    picked = days.join(F.broadcast(have), F.col("have") <= F.col("wanted")).groupBy("days").agg(F.max("have").alias("level"))
+    picked = picked.transform(with_one, now).select("days", "level", (F.col("now") - F.col("days") * 86_400).alias("since"))
+    return nodes.join(F.broadcast(picked), "level").where("time_end >= since")  # one row a window
+
+
+def reranked(walk: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int) -> DataFrame:
+    """The limit best nodes of each root (root, node, depth) by cosine; nodes without a vector last, then by depth."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    near = walk.join(vectors, "node", "left").withColumn("similarity", F.round(cosine("embedding", q, None, None), 6))
+    order = Window.partitionBy("root").orderBy(F.desc_nulls_last("similarity"), "depth", F.desc("node"))
+    return near.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("root", "node", "depth", "similarity", "pos")
 
 
 def summary_of(children: Column, budget: int) -> Column:
@@ -71,13 +120,6 @@ def time_tree(rows: DataFrame, ts: str, tokens: str) -> DataFrame:
     return rolled.select(node.alias("node"), depth[F.col("g").cast("int")].alias("level"), "n", "tokens", (F.col("tokens") > limits[F.col("g").cast("int")]).alias("summarised"))
 
 
-def numbered_groups(rows: DataFrame, order: str, size: int, keys: Sequence[str]) -> DataFrame:
-    """Full groups of size consecutive rows by key."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    g = rows.withColumn("grp", F.floor((rn - 1) / size)).groupBy(*keys, "grp").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
-    return g.where(F.col("n") == size)
-
-
 def pick_level(days: Column) -> Column:
     return F.when(days < 2, 0).when(days < 14, 1).when(days < 60, 2).otherwise(3)
 

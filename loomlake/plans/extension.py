@@ -23,7 +23,7 @@ def summarise_llm(summaries: DataFrame) -> DataFrame:
     return ext.summarised(pairs, "parent_id", "at", "content", 100, trees.summary_of)
 
 
-@query("embed_default", ["sentences"])
+@query("embed_default", ["sentences"], "select doc_id, 32 as dims, case when regexp_matches(text, '\\S') then 1.0 else 0.0 end::double as norm, 'local/hash/32' as signature from sentences")
 def embed_default(rows: DataFrame) -> DataFrame:
     own = ext.HashEmbedder(32)
     made = rows.select("doc_id", ext.embedded(own)("text").alias("v"))

@@ -12,29 +12,48 @@ from loomlake.operators import score as sc
 from loomlake.operators import trees as op
 from loomlake.plans.catalog import query, stand_in
 
-BUDGET = 5_000
+#: Any fixed vector, to rank nodes by.
+QUERY = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
+
+BUDGET, SMALL_BUDGET = 5_000, 400
 stand_in("tree_edges", "select l_suppkey as parent, l_suppkey + 1 + l_partkey % 3 as child from {lineitem} group by 1, 2")
-stand_in("chunk_tags", "select id, source_kind, content, token_count, tags || case when id % 5 = 0 then ',provider:gmail' when id % 5 = 1 then ',provider:notion' else '' end as tags from {chunks}")
-SCORE = """with w as (select c.*, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w, len(regexp_extract_all(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) as ne from chunk_tags c),
+#: Chats get headings as canonicalising leaves them; tags stack, so that interaction takes every value.
+stand_in("chunk_tags", """select id, source_kind, case when source_kind = 'chat' then '# Chat transcript' || chr(10) || '## 0 — ada@example.com' || chr(10) || content || chr(10) || '## 1 — bob' || chr(10) || 'see https://example.org/x #plan @bob' else content end as content, token_count,
+    tags || case when id % 5 = 0 then ',provider:gmail' when id % 5 = 1 then ',provider:notion' else '' end || case id % 6 when 0 then ',sent' when 1 then ',dm,mention' when 2 then ',sent,dm,mention' when 3 then ',mention' else '' end as tags from {chunks}""")
+SPOKEN = "case when source_kind = 'chat' then array_to_string(list_filter(string_split(content, chr(10)), lambda x: not (starts_with(x, '# Chat transcript') or starts_with(x, '## '))), chr(10)) else content end"
+SCORE = r"""with p as (select *, """ + SPOKEN + r""" as own from chunk_tags),
+ w as (select p.*, list_filter(regexp_split_to_array(lower(own), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w, len(list_distinct(list_concat(list_concat(list_concat(list_concat(list_transform(regexp_extract_all(own, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), lambda x: 'email:' || x),
+ list_transform(regexp_extract_all(own, 'https?://[^\s<>"'')]+'), lambda x: 'url:' || x)), list_transform(regexp_extract_all(own, '(?:^|[\s(])(@[A-Za-z0-9_][A-Za-z0-9_.\-]+)', 1), lambda x: 'handle:' || x)),
+ list_transform(regexp_extract_all(own, '\b[A-Za-z0-9_.\-]{2,32}#[0-9]{4}\b'), lambda x: 'handle:' || x)), list_transform(regexp_extract_all(own, '(?:^|[\s(])(#[A-Za-z][A-Za-z0-9_\-]*)', 1), lambda x: 'hashtag:' || x)))) as ne,
+ string_split(tags, ',') as tg from p),
+ i as (select *, (case when list_contains(tg, 'sent') then 0.6 else 0 end + case when list_contains(tg, 'reply') then 0.5 else 0 end + case when list_contains(tg, 'dm') then 0.3 else 0 end + case when list_contains(tg, 'mention') then 0.2 else 0 end)::double as touch from w),
  s as (select id, token_count as n, ne, round(case when token_count < 10 then 0 when token_count < 30 then (token_count - 10) / 20.0 when token_count <= 3000 then 1 when token_count < 8000 then 1 - 0.5 * (token_count - 3000) / 5000.0 else 0.5 end, 6)::double as token,
  round(case when len(w) < 5 then 0.5 else least(greatest((len(list_distinct(w)) / len(w) - 0.3) / 0.4, 0), 1) end, 6) as diversity, (case source_kind when 'email' then 0.8 when 'document' then 0.9 else 0.5 end)::double as metadata,
- (case when tags like '%provider:gmail%' then 0.8 when tags like '%provider:notion%' then 0.75 when source_kind = 'email' then 0.75 when source_kind = 'document' then 0.7 else 0.5 end)::double as source, 0.5::double as interaction,
- round(case when token_count > 0 then least(ne / token_count / 0.01, 1) else 0 end, 6) as density from w),
- t as (select *, round(least(greatest((token + diversity + 1.5 * metadata + 1.5 * source + 3 * interaction + density) / 9.0, 0), 1), 6) as total from s),
+ (case when tags like '%provider:gmail%' then 0.8 when tags like '%provider:notion%' then 0.75 when source_kind = 'email' then 0.75 when source_kind = 'document' then 0.7 else 0.5 end)::double as source, round(case when touch = 0 then 0.5 else least(touch, 1) end, 6) as interaction,
+ round(case when token_count > 0 then least(ne / token_count / 0.01, 1) else 0 end, 6) as density, (id % 100) / 100.0 as llm from i),
+ c as (select *, least(greatest((token + diversity + 1.5 * metadata + 1.5 * source + 3 * interaction + density) / 9.0, 0), 1) as cheap from s),
+ t as (select *, round({total}, 6) as total from c),
  v as (select *, case when n < 10 and ne = 0 then 'short and without entities' when total < 0.3 then 'below threshold' else '' end as reason from t)"""
+ASKED = "case when cheap > 0.15 and cheap < 0.85 then (cheap * 9.0 + 2 * llm) / 11.0 else cheap end"
 
 
-def _scored(chunks: DataFrame) -> DataFrame:
-    rows = chunks.withColumn("tags", F.split("tags", ",")).withColumn("n_entities", F.size(F.regexp_extract_all("content", F.lit(fn.ENTITY_FORMS["email"]), F.lit(0))))
-    return sc.scored(rows)
+def _scored(chunks: DataFrame, asked: bool = False) -> DataFrame:
+    rows = chunks.withColumn("tags", F.split("tags", ",")).withColumn("n_entities", sc.n_entities(sc.spoken("source_kind", "content")))
+    return sc.scored(rows, (F.col("id") % 100) / 100 if asked else None)
 
 
-@query("score_chunks", ["chunk_tags"], SCORE + " select id, total, reason = '' as kept, reason from v")
+@query("score_chunks", ["chunk_tags"], SCORE.replace("{total}", "cheap") + " select id, total, reason = '' as kept, reason from v")
 def score_chunks(chunks: DataFrame) -> DataFrame:
     return _scored(chunks).select("id", "total", "kept", "reason")
 
 
-@query("score_components", ["chunk_tags"], SCORE + " select id, token, diversity, metadata, source, interaction, density from v")
+@query("score_llm", ["chunk_tags"], SCORE.replace("{total}", ASKED) + " select id, total, reason = '' as kept, reason from v")
+def score_llm(chunks: DataFrame) -> DataFrame:
+    """With a rating for the open band, where a caller's model would stand."""
+    return _scored(chunks, True).select("id", "total", "kept", "reason")
+
+
+@query("score_components", ["chunk_tags"], SCORE.replace("{total}", "cheap") + " select id, token, diversity, metadata, source, interaction, density from v")
 def score_components(chunks: DataFrame) -> DataFrame:
     return _scored(chunks).select("id", "token", "diversity", "metadata", "source", "interaction", "density")
 
@@ -53,11 +72,12 @@ def tree_seal_l0(chunks: DataFrame) -> DataFrame:
     return op.sealed(_groups(chunks), "source_id", "token_count", "id", BUDGET)
 
 
-@query("tree_seal_up", ["chunks"], SEAL + f""", g as (select source_id, grp from f group by 1, 2 having sum(token_count) >= {BUDGET}), c as (select source_id, count(*) as n from g group by 1)
- select source_id, cast(l as integer) as level, cast(floor(n / pow(2, l)) as bigint) as nodes from c, range(1, 33) r(l) where floor(n / pow(2, l)) > 0""")
+@query("tree_seal_up", ["chunks"], SEAL.replace(str(BUDGET), str(SMALL_BUDGET)) + f""", g as (select source_id, grp, sum(token_count) as tokens, min(id) as lo, max(id) as hi from f group by 1, 2 having sum(token_count) >= {SMALL_BUDGET}),
+ u as (select source_id, cast(l as integer) as level, cast(floor(grp / pow(2, l)) as bigint) as node, count(*) as leaves, cast(sum(tokens) as bigint) as tokens, min(lo) as first_id, max(hi) as last_id from g, range(1, 33) r(l) where pow(2, l) <= (select count(*) from g) group by 1, 2, 3)
+ select source_id, level, node, cast(node * 2 as varchar) || ',' || cast(node * 2 + 1 as varchar) as children, tokens, first_id, last_id from u where leaves = pow(2, level)""")
 def tree_seal_up(chunks: DataFrame) -> DataFrame:
-    full = op.sealed(_groups(chunks), "source_id", "token_count", "id", BUDGET).where("full")
-    return op.sealed_up(full, "source_id", 2)
+    groups = op.seal_groups(chunks, "source_id", ["seq", "id"], "token_count", SMALL_BUDGET)
+    return op.sealed_up(op.sealed(groups, "source_id", "token_count", "id", SMALL_BUDGET).where("full"), "source_id", 2)
 
 
 @query("tree_flush", ["chunks"], SEAL + f""", g as (select source_id, grp, sum(token_count) as t, min(id) as lo, max(id) as hi from f group by 1, 2) select source_id, grp, cast(t as bigint) as tokens from g where t < {BUDGET} and (hi - lo) * 3600 > 7 * 86400""")
@@ -104,19 +124,20 @@ def daily_digest(summaries: DataFrame) -> DataFrame:
     return _digests(summaries)
 
 
-@query("global_seal", ["summaries"], """with d as (select distinct tree_id, cast(floor(time_end / 86400.0) as bigint) as day_no from summaries where not deleted), w as (select tree_id, day_no, floor((row_number() over (partition by tree_id order by day_no) - 1) / 7) as grp from d)
- select tree_id, cast(grp as bigint) as grp, count(*) as n, min(day_no) as first, max(day_no) as last from w group by 1, 2 having count(*) = 7""")
+@query("global_seal", ["summaries"], """with d as (select distinct tree_id, cast(floor(time_end / 86400.0) as bigint) as day_no from summaries where not deleted), w as (select tree_id, day_no, row_number() over (partition by tree_id order by day_no) - 1 as rn from d),
+ l(level, size) as (values ('week', 7), ('month', 28), ('year', 336))
+ select tree_id, level, cast(floor(rn / size) as bigint) as node, count(*) as days, min(day_no) as first, max(day_no) as last from w, l group by 1, 2, 3, size having count(*) = size""")
 def global_seal(summaries: DataFrame) -> DataFrame:
     days = summaries.where("not deleted").select("tree_id", F.floor(F.col("time_end") / 86_400).alias("day_no")).distinct()
-    return op.numbered_groups(days, "day_no", 7, ["tree_id"])
+    return op.calendar_seal(days, "tree_id", "day_no")
 
 
-@query("recap", ["summaries"], """with w as (select unnest([1, 7, 30, 400]) as days), l as (select days, case when days < 2 then 0 when days < 14 then 1 when days < 60 then 2 else 3 end as wanted from w), have as (select distinct level from summaries)
- select cast(days as integer) as days, max(level) as level from l join have on have.level <= wanted group by 1""")
+@query("recap", ["summaries"], """with n as (select * from summaries where not deleted), t as (select max(time_end) as now from n), w as (select unnest([1, 7, 30, 400]) as days),
+ l as (select days, now - days * 86400 as since, case when days < 2 then 0 when days < 14 then 1 when days < 60 then 2 else 3 end as wanted from w, t),
+ have as (select distinct level from n), p as (select days, since, max(level) as level from l join have on have.level <= wanted group by 1, 2)
+ select cast(p.days as integer) as days, p.level, n.id, n.tree_id, n.time_start, n.time_end, md5(n.content) as h from p join n on n.level = p.level and n.time_end >= p.since""")
 def recap(summaries: DataFrame) -> DataFrame:
-    windows = summaries.sparkSession.createDataFrame([(d,) for d in (1, 7, 30, 400)], "days int").withColumn("wanted", op.pick_level(F.col("days")))
-    have = summaries.select("level").distinct()  # levels are few: MOST_LEVELS at most
-    return windows.join(F.broadcast(have), F.col("level") <= F.col("wanted")).groupBy("days").agg(F.max("level").alias("level"))
+    return op.recap(summaries.where("not deleted"), (1, 7, 30, 400)).select("days", "level", "id", "tree_id", "time_start", "time_end", F.md5("content").alias("h"))
 
 
 @query("time_tree", ["events"], """with e as (select year(ts) as y, month(ts) as m, day(ts) as d, hour(ts) as h, event_id % 400 as t from events),
@@ -132,11 +153,16 @@ def tree_status(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("tree_id").agg(F.count("*").alias("nodes"), F.max("level").alias("depth"), F.min("time_start").alias("oldest"), F.max("time_end").alias("newest"))
 
 
-@query("drill_down", ["tree_edges"], """with recursive w as (select distinct parent as root, parent as node, 0 as depth from tree_edges where parent % 5 = 0 union select w.root, e.child, w.depth + 1 from w join tree_edges e on e.parent = w.node where w.depth < 3)
- select root, node, min(depth) as depth from w group by 1, 2""")
-def drill_down(edges: DataFrame) -> DataFrame:
+NEAR = "list_dot_product(embedding::double[], {q}) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product({q}, {q})))".replace("{q}", "[" + ", ".join(map(str, QUERY)) + "]::double[]")
+
+
+@query("drill_down", ["tree_edges", "embeddings"], f"""with recursive w as (select distinct parent as root, parent as node, 0 as depth from tree_edges where parent % 5 = 0 union select w.root, e.child, w.depth + 1 from w join tree_edges e on e.parent = w.node where w.depth < 3),
+ m as (select root, node, min(depth) as depth from w group by 1, 2), s as (select m.*, round(case when m.node % 3 = 0 then null else {NEAR} end, 6) as similarity from m left join embeddings e on e.vec_id = m.node),
+ r as (select *, row_number() over (partition by root order by similarity desc nulls last, depth, node desc) as pos from s) select root, node, depth, similarity, cast(pos as integer) as pos from r where pos <= 5""")
+def drill_down(edges: DataFrame, embeddings: DataFrame) -> DataFrame:
     roots = edges.where("parent % 5 = 0").select(F.col("parent").alias("root")).distinct()
-    return graph.bounded_walk(edges, roots, 3)
+    vectors = embeddings.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("node"), "embedding")  # a third has none
+    return op.reranked(graph.bounded_walk(edges, roots, 3), vectors, QUERY, 5)
 
 
 @query("fetch_leaves", ["chunks"], "with q as (select unnest([5, 3, 9999999, 17, 11]) as id, unnest(range(5)) as pos) select cast(q.pos as integer) as pos, c.id, c.source_id, 0.0::double as score from q join chunks c on c.id = q.id")

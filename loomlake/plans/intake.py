@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlake.operators import compaction
 from loomlake.operators import segments as seg
-from loomlake.plans.catalog import QUERIES, load, query, stand_in
+from loomlake.plans.catalog import QUERIES, TWINS, load, query, stand_in
 from loomlake.session import fresh_path
 from loomlake.sources import contacts, readers
 
@@ -80,6 +80,7 @@ def file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["file_sink"] = file_sink
+TWINS["file_sink"] = (["memory_docs"], "select document_id, sha256(content) as sha, true as intact from memory_docs")
 
 SEGS = """with recursive s as (select *, row_number() over (partition by session_id order by turn) as rn from marked_turns),
  f as (select session_id, rn, turn, sec, cast(0 as bigint) as segment, 1 as n, '' as reason from s where rn = 1 union all
