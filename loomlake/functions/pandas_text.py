@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.functions.text import ENTITY_FORMS, FOLDED
+from loomlake.functions.text import ENTITY_FORMS, FOLDED, REDACTED, SECRET_BLOCKS, SECRET_FORMS
 
 _FOLD = str.maketrans(FOLDED)
 
@@ -75,18 +75,31 @@ def plain_width(x: str) -> int:
 graphemes = _each(lambda x: len(plain_graphemes(x)), T.IntegerType())
 width = _each(plain_width, T.IntegerType())
 
-SENSITIVE = re.compile(r"(?i)pass(word|wd)|secret|token|api[_-]?key|authorization|cookie")
+# Keys whose values never stay, what their letters and digits may end in or hold, and the depth.
+SENSITIVE = {"apikey", "token", "accesstoken", "refreshtoken", "authorization", "password", "secret", "clientsecret"}
+SENSITIVE_ENDS, SENSITIVE_PARTS = ("token", "apikey", "clientsecret", "key"), ("password", "secret")
 DEEPEST = 128
+_SECRETS = tuple((re.compile(p, re.ASCII), mark.replace("$1", r"\1")) for p, mark in (*((b, REDACTED) for b in SECRET_BLOCKS), *SECRET_FORMS))
+
+
+def is_sensitive(key: str) -> bool:
+    own = "".join(c for c in key.lower() if c.isascii() and c.isalnum())
+    return own in SENSITIVE or own.endswith(SENSITIVE_ENDS) or any(p in own for p in SENSITIVE_PARTS)
 
 
 def plain_redact_json(x: str) -> str:
+    """Values of sensitive keys, secrets in other texts and what lies too deep give way to a mark; other texts stay."""
+
     def walk(v, depth):
-        if depth > DEEPEST:
-            return "[TOO DEEP]"
+        if depth >= DEEPEST:
+            return REDACTED
         if isinstance(v, dict):
-            return {k: "[REDACTED]" if SENSITIVE.search(k) else walk(u, depth + 1) for k, u in v.items()}
+            return {k: REDACTED if is_sensitive(k) else walk(u, depth + 1) for k, u in v.items()}
         if isinstance(v, list):
             return [walk(u, depth + 1) for u in v]
+        if isinstance(v, str):
+            for form, mark in _SECRETS:
+                v = form.sub(mark, v)
         return v
 
     try:

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from loomlake.functions.scalars import with_one
+from loomlake.operators.passes import ordered_pass
 
 
 def rolling_shift(turns: DataFrame, size: int = 15, limits: Sequence[tuple[float, str]] = ((0.3, "terse"), (0.5, "short"), (0.8, "brief"))) -> DataFrame:
@@ -24,21 +26,37 @@ def rolling_shift(turns: DataFrame, size: int = 15, limits: Sequence[tuple[float
     return seen.select("session_id", "turn", value.alias("value")).where("value is not null").groupBy("session_id", "value").agg(F.min("turn").alias("turn"))
 
 
-def fold(ordered: Column, start: Column, step, finish) -> Column:
-    """One pass over an ordered array with a carried state; used where the next state depends on the last decision."""
-    return F.aggregate(ordered, start, step, finish)
-
-
-def cooldown(rows: DataFrame, keys: Sequence[str], order: str, clock: str, seconds: int) -> DataFrame:
-    """How often a repeated pattern may speak up, and whether its third repeat vetoes it."""
-    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, clock))).alias("t"))
-
-    def step(a, x):
-        go = a["held"].isNull() | (x[clock] - a["held"] >= seconds)
-        return F.struct(F.when(go, x[clock]).otherwise(a["held"]).alias("held"), (a["n"] + go.cast("long")).alias("n"))
-
-    start = F.struct(F.lit(None).cast("long").alias("held"), F.lit(0).cast("long").alias("n"))
-    return times.select(*keys, fold(F.col("t"), start, step, lambda a: a["n"]).alias("emitted"), (F.size("t") >= 3).alias("vetoed"))
+# What users say to correct an answer and the style that it asks for; seconds after an answer in which it
+# counts, seconds between two signals of a style, and the repeat that turns into a veto.
+CORRECTIONS = (
+    ("shorter", "verbosity", "terse"), ("too long", "verbosity", "terse"), (" less ", "verbosity", "terse"), ("just code", "format", "code-only"),
+    ("not bullets", "format", "prose"), ("more detail", "verbosity", "detailed"), ("more verbose", "verbosity", "detailed"),
+)
+EDIT_WINDOW, COOLDOWN, VETO_REPEAT = 30, 300, 3
+
+
+def corrections(turns: DataFrame) -> DataFrame:
+    """(session_id, turn, class, key, value) of turns (session_id, turn, sec, role, body): the style that a user's words
+    soon after an answer ask for, at most once in COOLDOWN seconds, and a veto at the third time, once."""
+    before = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    answered = F.max_by(F.when(F.col("role") == "assistant", F.col("sec")), F.when(F.col("role") == "assistant", F.col("turn"))).over(before)
+    soon = turns.withColumn("gap", F.col("sec") - answered).where(f"role = 'user' and gap >= 0 and gap < {EDIT_WINDOW}")
+    low = F.lower("body")
+    cues = [F.when(low.contains(p), F.struct(F.lit(i).alias("at"), F.lit(k).alias("key"), F.lit(v).alias("value"))) for i, (p, k, v) in enumerate(CORRECTIONS)]
+    hits = soon.select("session_id", "turn", "sec", F.explode(F.filter(F.array(*cues), lambda x: x.isNotNull())).alias("c")).select("session_id", "turn", "sec", "c.*")
+    hits = hits.withColumn("cue", F.concat_ws("|", F.col("session_id").cast("string"), "key", "value"))
+
+    def step(last, row):
+        now = row[2]
+        go = last is None or now - last >= COOLDOWN
+        return (now if go else last), (go,)
+
+    told = ordered_pass(hits, "cue", ["turn", "at"], step, lambda: None, [T.StructField("told", T.BooleanType())])
+    nth = F.row_number().over(Window.partitionBy("cue").orderBy("turn", "at"))
+    rows = told.withColumn("nth", nth).select(
+        "session_id", "turn", "key", "value", F.explode(F.filter(F.array(F.when(F.col("told"), "style"), F.when(F.col("nth") == VETO_REPEAT, "veto")), lambda x: x.isNotNull())).alias("class")
+    )
+    return rows.select("session_id", "turn", "class", "key", "value")
 
 
 def _overlap(words: Column, wanted: Sequence[str]) -> Column:

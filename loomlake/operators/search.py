@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomlake.functions.scalars import with_one
 from loomlake.session import written
 from loomlake.functions import vectors
+from loomlake.operators.tables import newest
 
 K1, B = 1.2, 0.75
 #: Engine-defined weights of the hybrid score; they are shared out over the signals that are present.
@@ -111,3 +112,13 @@ def hybrid(branches: dict[str, DataFrame], key: str) -> DataFrame:
     shown = [F.round(F.max(F.when(F.col("branch") == name, F.col("score"))), 6).alias(name) for name in branches]
     final = F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 6)
     return tagged.groupBy(key).agg(*shown, final.alias("final"), F.count("*").alias("signals"))
+
+
+def context(facts: DataFrame, key: str, types: dict[str, Column], most: int) -> DataFrame:
+    """(key, facts, context): how many facts (subject, predicate, object) a key has, and the first of them as lines with
+    the type of each end. The limit precedes the gathering, so no group is held whole."""
+    line = F.concat("subject", F.lit(" ("), types["subject"], F.lit(") -["), "predicate", F.lit("]-> "), "object", F.lit(" ("), types["object"], F.lit(")"))
+    lines = facts.select(key, line.alias("line"))
+    counts = lines.groupBy(key).agg(F.count("*").alias("facts"))
+    first = newest(lines, [key], most, [F.asc("line")]).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("context"))
+    return counts.join(first, key)

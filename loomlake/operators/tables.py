@@ -58,3 +58,13 @@ def ledger_diff(before: DataFrame, after: DataFrame, key: str, digest: str, supp
 def merged_set(lists: Column) -> Column:
     """Sorted distinct union of collected arrays."""
     return F.array_sort(F.array_distinct(F.flatten(lists)))
+
+
+def unsynced(items: DataFrame, synced: DataFrame, connection: str, key: str, at: str) -> DataFrame:
+    """The items that a connection has not stored: beyond its cursor, with an unknown id. Where the newest item is the
+    one stored last, nothing is new and the connection is left alone."""
+    state = synced.groupBy(connection).agg(F.max(at).alias("_cursor"), F.max_by(key, at).alias("_last"))
+    head = items.groupBy(connection).agg(F.max_by(key, at).alias("_newest")).join(state, connection, "left")
+    live = head.where("_last is null or _last <> _newest").select(connection, "_cursor")
+    fresh = items.join(live, connection).where(F.col("_cursor").isNull() | (F.col(at) > F.col("_cursor"))).drop("_cursor")
+    return without(fresh, synced.select(connection, key), [connection, key])

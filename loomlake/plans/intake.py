@@ -15,7 +15,8 @@ stand_in("log_lines", "select event_id, case when event_id % 10 = 0 then chr(123
 #: Whole texts as bodies, 40 mails a thread at any size of the table.
 stand_in("mails", """select doc_id, 'thread ' || cast(cast(floor(doc_id / 40) as bigint) as string) as subject, lang || '@mail.com' as sender, doc_id * 60 as sent_at, 'Hi' || chr(10) || text || chr(10) || 'On Monday Ada wrote:' || chr(10) || '> old' as body, case when doc_id % 3 = 0 then '<mailto:out@x>' else null end as unsubscribe from {documents}""")
 stand_in("raw_documents", """select doc_id, case doc_id % 4 when 0 then cast(doc_id * 1000 as string) when 1 then '2024-01-02T03:04:05' when 2 then 'soon' else null end as stamp, case when doc_id % 5 = 0 then null else source end as provider, text as body from {documents}""")
-stand_in("responses", "select doc_id, 'Subject A' || chr(10) || 'body ' || cast(doc_id as string) || chr(10) || '---' || chr(10) || 'Subject B' || chr(10) || '## Subject C' || chr(10) || 'x' as markdown from {documents}")
+stand_in("responses", """select doc_id, 'Subject A ' || cast(doc_id as string) || chr(10) || 'body ' || lang || chr(10) || '---' || chr(10) || 'Subject B' || chr(10) || case doc_id % 3 when 0 then '## Subject C' || chr(10) || 'x' when 1 then '### subject c' else '## Other' end as markdown,
+    'subject a ' || cast(doc_id as string) as first, case when doc_id % 5 = 0 then 'Subject Z' else 'Subject B' end as second, 'SUBJECT C' as third, lang from {documents}""")
 stand_in("marked_turns", "select user_id as session_id, event_id as turn, @sec(ts) as sec, event_type = 'error' as marker from {events}")
 
 
@@ -50,9 +51,11 @@ def src_document(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("provider", F.lit("unknown")).alias("provider"), readers.document_time(F.col("stamp"), F.lit(1_700_000_000_000)).alias("ts_ms"))
 
 
-@query("src_email_reshape", ["responses"], "select doc_id, unnest(['Subject A' || chr(10) || 'body ' || cast(doc_id as varchar), 'Subject B', '## Subject C' || chr(10) || 'x']) as part, unnest([0, 1, 2]) as pos from responses")
+@query("src_email_reshape", ["responses"], """select doc_id, unnest(['Subject A ' || cast(doc_id as varchar) || chr(10) || 'body ' || lang, 'Subject B', case doc_id % 3 when 0 then '## Subject C' || chr(10) || 'x' else '### subject c' end]) as part, unnest([0, 1, 2]) as pos from responses where doc_id % 3 <> 2 and doc_id % 5 <> 0
+ union all select doc_id, markdown, 0 from responses where doc_id % 3 = 2 or doc_id % 5 = 0""")
 def src_email_reshape(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.posexplode(readers.split_messages(F.col("markdown"))).alias("pos", "part"))
+    parts = readers.verified_messages(F.col("markdown"), F.array("first", "second", "third"))
+    return rows.select("doc_id", F.posexplode(F.coalesce(parts, F.array("markdown"))).alias("pos", "part"))
 
 
 @query("src_slack_bucket", ["messages"], "select case when conv_id % 3 = 0 then 'private:' || chat_id else '#' || chat_id end as label, count(*) as n, min(sec) as first_sec, string_agg(cast(message_id as varchar), ',' order by sec, message_id) as refs from messages group by 1")
@@ -135,19 +138,30 @@ def f_vec_codec(rows: DataFrame) -> DataFrame:
     return packed.select("vec_id", F.octet_length("b").alias("bytes"), (unpack_vector("b") == F.col("embedding")).alias("same"))
 
 
-@query("f_width", ["part"], "select p_partkey, cast(length(p_name) as integer) as width, cast(length(p_name) as integer) as graphemes from part")
-def f_width(part: DataFrame) -> DataFrame:
+#: Names followed by other scripts: wide letters, a base with a mark, joined and coloured emoji, a flag.
+stand_in("scripts", """select p_partkey, p_name, p_name || case p_partkey % 6 when 0 then '' when 1 then ' 中文한' when 2 then ' é ñ' when 3 then ' 👨‍👩‍👧' when 4 then ' 👍🏽!' else ' 🇳🇴🇫🇷' end as text from {part}""")
+
+
+@query("f_width", ["scripts"], """select p_partkey, cast(length(p_name) + case p_partkey % 6 when 0 then 0 when 1 then 7 when 2 then 4 when 3 then 3 when 4 then 4 else 3 end as integer) as width,
+ cast(length(p_name) + case p_partkey % 6 when 0 then 0 when 1 then 4 when 2 then 4 when 3 then 2 when 4 then 3 else 3 end as integer) as graphemes from scripts""")
+def f_width(rows: DataFrame) -> DataFrame:
     from loomlake.functions.pandas_text import graphemes, width
 
-    return part.select("p_partkey", width("p_name").alias("width"), graphemes("p_name").alias("graphemes"))
+    return rows.select("p_partkey", width("text").alias("width"), graphemes("text").alias("graphemes"))
+
 
+#: Objects and lists with sensitive keys and secrets at several depths, a bare value, and a text that is no JSON.
+stand_in("json_texts", """select event_id, case event_id % 5 when 0 then chr(123) || '"password": "x", "deep": [' || chr(123) || '"apiKey": "y", "Client-Secret": [1], "k": ' || cast(user_id as string) || chr(125) || ']' || chr(125)
+    when 1 then '[' || chr(123) || '"note": "use bearer abcdef123456 now", "n": ' || cast(user_id as string) || ', "refresh_token": null' || chr(125) || ', "ghp_' || repeat('x1', 12) || '"]'
+    when 2 then cast(user_id as string) when 3 then 'not json ' || cast(user_id as string) else chr(123) || '"monkey": 1, "keys": ' || cast(user_id as string) || ', "a": ' || chr(123) || '"b": [true, null, "é"]' || chr(125) || chr(125) end as text, user_id from {events}""")
 
-@query("f_redact_json", ["events"], """select event_id, '{"password":"[REDACTED]","deep":[{"apiKey":"[REDACTED]","k":' || json_extract_string(props, '$.k') || '}]}' as j from events""")
-def f_redact_json(events: DataFrame) -> DataFrame:
+
+@query("f_redact_json", ["json_texts"], """select event_id, case event_id % 5 when 0 then '{"password":"[REDACTED]","deep":[{"apiKey":"[REDACTED]","Client-Secret":"[REDACTED]","k":' || user_id || '}]}'
+ when 1 then '[{"note":"use bearer [REDACTED] now","n":' || user_id || ',"refresh_token":"[REDACTED]"},"[REDACTED]"]' when 2 then cast(user_id as varchar) when 3 then text else '{"monkey":"[REDACTED]","keys":' || user_id || ',"a":{"b":[true,null,"é"]}}' end as j from json_texts""")
+def f_redact_json(rows: DataFrame) -> DataFrame:
     from loomlake.functions.pandas_text import redact_json
 
-    raw = F.concat(F.lit('{"password": "x", "deep": [{"apiKey": "y", "k": '), F.get_json_object("props", "$.k"), F.lit("}]}"))
-    return events.select("event_id", redact_json(raw).alias("j"))
+    return rows.select("event_id", redact_json("text").alias("j"))
 
 
 def _long(pages: DataFrame):
@@ -177,12 +191,17 @@ def f_mixed_grams(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", F.size(mixed_grams(F.lower("p_name"))).alias("grams"))
 
 
-@query("f_signature", ["mails"], "select doc_id, lang || '@mail.com' as email, 'Ada Byron' as name, 'Engineer' as role, 'Example Ltd' as employer from mails join documents using (doc_id)")
+#: Signatures below a mark and without one, with and without a place, a time zone and an employer, under whole mails.
+stand_in("signed", """select doc_id, body || chr(10) || case doc_id % 4 when 0 then 'Thanks' || chr(10) || '--' || chr(10) || 'Ada Byron' || chr(10) || 'Engineer, Example Ltd' || chr(10) || sender when 1 then '--' || chr(10) || 'Bob Q. Lee' || chr(10) || 'Product Manager at Acme' || chr(10) || 'Berlin, Germany' || chr(10) || 'UTC+2 office hours'
+    when 2 then '--' || chr(10) || sender || chr(10) || 'Location: Oslo, Norway' else '--' || chr(10) || 'no facts here' end as body, sender from {mails}""")
+
+
+@query("f_signature", ["signed"], """select doc_id, case when doc_id % 4 in (0, 2) then sender end as email, case doc_id % 4 when 0 then 'Ada Byron' when 1 then 'Bob Q. Lee' end as name, case doc_id % 4 when 0 then 'Engineer' when 1 then 'Product Manager' end as role,
+ case doc_id % 4 when 0 then 'Example Ltd' when 1 then 'Acme' end as employer, case when doc_id % 4 = 1 then 'UTC+2' end as timezone, case doc_id % 4 when 1 then 'Berlin, Germany' when 2 then 'Oslo, Norway' end as location from signed""")
 def f_signature(mails: DataFrame) -> DataFrame:
     from loomlake.functions.signature import facts
 
-    signed = mails.select("doc_id", F.concat(F.lit("Thanks\n--\nAda Byron\nEngineer, Example Ltd\n"), "sender").alias("body"))
-    return signed.select("doc_id", facts("body").alias("f")).select("doc_id", "f.email", "f.name", "f.role", "f.employer")
+    return mails.select("doc_id", facts("body").alias("f")).select("doc_id", "f.*")
 
 
 stand_in("tool_inputs", "select doc_id as id, case doc_id % 3 when 0 then 'shell' when 1 then 'search' else 'other' end as tool, case doc_id % 4 when 0 then 'git' else 'ls' end as argv0, text from {documents}")
@@ -204,8 +223,8 @@ def compact_output(rows: DataFrame) -> DataFrame:
     return compaction.compacted(inputs).select("id", "raw_chars", F.length("text").alias("chars"), "compacted")
 
 
-@query("f_graphemes", ["handles"], "select c_custkey, cast(length(value) as integer) as n from handles")
+@query("f_graphemes", ["scripts"], "select p_partkey, cast(length(p_name) + case p_partkey % 6 when 0 then 0 when 1 then 4 when 2 then 4 when 3 then 2 when 4 then 3 else 3 end as integer) as n from scripts")
 def f_graphemes(rows: DataFrame) -> DataFrame:
     from loomlake.functions.pandas_text import graphemes
 
-    return rows.select("c_custkey", graphemes("value").alias("n"))
+    return rows.select("p_partkey", graphemes("text").alias("n"))

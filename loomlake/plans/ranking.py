@@ -47,12 +47,19 @@ def rolling_ratio(turns: DataFrame) -> DataFrame:
     return op.rolling_shift(turns)
 
 
-@query("edit_cooldown", ["turns"], """with recursive s as (select session_id, key, sec, turn, row_number() over (partition by session_id, key order by turn) as rn from turns),
- f as (select session_id, key, rn, sec, turn, sec as held, true as emit from s where rn = 1 union all
- select s.session_id, s.key, s.rn, s.sec, s.turn, case when s.sec - f.held >= 300 then s.sec else f.held end, s.sec - f.held >= 300 from f join s on s.session_id = f.session_id and s.key = f.key and s.rn = f.rn + 1)
- select session_id, key, count(*) filter (emit) as emitted, count(*) >= 3 as vetoed from f group by 1, 2""")
+stand_in("edits", """select user_id as session_id, event_id as turn, event_id * 2 as sec, case when event_type in ('view', 'click') then 'assistant' else 'user' end as role,
+    case event_id % 5 when 0 then 'Make it shorter, it is too long' when 1 then 'say less please' when 2 then 'just code and more detail' when 3 then 'thanks' else 'More verbose, not bullets' end as body from {events}""")
+EDITS = """with recursive p as (select *, max(case when role = 'assistant' then turn end) over (partition by session_id order by turn rows between unbounded preceding and 1 preceding) as answer from edits),
+ g as (select p.session_id, p.turn, p.sec, lower(p.body) as l from p join edits a on a.session_id = p.session_id and a.turn = p.answer where p.role = 'user' and p.sec - a.sec >= 0 and p.sec - a.sec < 30),
+ c(i, pattern, key, value) as (values {values}), h as (select session_id, turn, sec, i, key, value, row_number() over (partition by session_id, key, value order by turn, i) as rn from g join c on contains(l, pattern)),
+ f as (select session_id, turn, sec, key, value, rn, sec as held, true as told from h where rn = 1 union all
+ select h.session_id, h.turn, h.sec, h.key, h.value, h.rn, case when h.sec - f.held >= 300 then h.sec else f.held end, h.sec - f.held >= 300 from f join h on h.session_id = f.session_id and h.key = f.key and h.value = f.value and h.rn = f.rn + 1)
+ select session_id, turn, 'style' as class, key, value from f where told union all select session_id, turn, 'veto', key, value from f where rn = 3"""
+
+
+@query("edit_cooldown", ["edits"], EDITS.replace("{values}", ", ".join(f"({i}, '{p}', '{k}', '{v}')" for i, (p, k, v) in enumerate(op.CORRECTIONS))))
 def edit_cooldown(turns: DataFrame) -> DataFrame:
-    return op.cooldown(turns, ["session_id", "key"], "turn", "sec", 300)
+    return op.corrections(turns)
 
 
 @query("reflection_cap", ["turns"], "select session_id, turn from (select *, row_number() over (partition by session_id order by turn) as rn from turns) where rn <= 20")

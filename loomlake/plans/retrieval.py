@@ -164,8 +164,11 @@ def recall(docs: DataFrame, embeddings: DataFrame, lines: DataFrame, episodes: D
     return every.orderBy(F.desc("score"), "kind", "id").limit(25)
 
 
-@query("context_render", ["triples"], """select namespace, md5(string_agg(distinct trim(subject) || ' -[' || predicate || ']-> ' || object, chr(10) order by trim(subject) || ' -[' || predicate || ']-> ' || object)) as context, count(distinct trim(subject) || predicate || object) as facts from triples group by 1""")
+@query("context_render", ["triples"], """with f as (select distinct namespace, trim(subject) as subject, predicate, object from triples), t as (select namespace, subject || ' (' || case when subject like 'supp %' then 'supplier' else 'topic' end || ') -[' || predicate || ']-> ' || object || ' (' || case when object like 'part %' then 'part' else 'topic' end || ')' as line from f),
+ r as (select namespace, line, row_number() over (partition by namespace order by line) as pos, count(*) over (partition by namespace) as facts from t)
+ select namespace, facts, md5(string_agg(line, chr(10) order by line)) as context from r where pos <= 200 group by 1, 2""")
 def context_render(triples: DataFrame) -> DataFrame:
-    line = F.concat(F.trim("subject"), F.lit(" -["), "predicate", F.lit("]-> "), "object")
-    lines = triples.select("namespace", line.alias("line")).distinct()
-    return lines.groupBy("namespace").agg(F.md5(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("context"), F.count("*").alias("facts"))
+    """The first 200 facts of a namespace as lines with the types of both ends; a context holds no more."""
+    facts = triples.select("namespace", F.trim("subject").alias("subject"), "predicate", "object").distinct()
+    types = {"subject": F.when(F.col("subject").startswith("supp "), "supplier").otherwise("topic"), "object": F.when(F.col("object").startswith("part "), "part").otherwise("topic")}
+    return op.context(facts, "namespace", types, 200).select("namespace", "facts", F.md5("context").alias("context"))

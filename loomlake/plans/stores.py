@@ -32,11 +32,31 @@ DOC = """with r as (select *, row_number() over (partition by namespace, doc_key
 
 
 @query("upsert_doc", ["doc_writes"], DOC + """ select namespace, doc_key, first_id as document_id, first_at as created_at, title, priority, updated_at, writes,
- sha256(content) as content_sha, cast(ceil(length(content) / 900.0) as bigint) as n_chunks, 'local/hash/64' as signature from r where rn = 1""")
+ sha256(content) as content_sha, 'local/hash/64' as signature from r where rn = 1""")
 def upsert_doc(writes: DataFrame) -> DataFrame:
     out = op.upsert(writes, ["namespace", "doc_key"], "updated_at", ["document_id", "created_at"])
-    chunks = F.ceil(F.length("content") / 900.0).alias("n_chunks")  # 225 tokens of four characters
-    return out.select("namespace", "doc_key", "document_id", "created_at", "title", "priority", "updated_at", "writes", F.sha2("content", 256).alias("content_sha"), chunks, F.lit("local/hash/64").alias("signature"))
+    return out.select("namespace", "doc_key", "document_id", "created_at", "title", "priority", "updated_at", "writes", F.sha2("content", 256).alias("content_sha"), F.lit("local/hash/64").alias("signature"))
+
+
+def rechunked(writes: DataFrame, old: DataFrame, tokens: int = 225) -> DataFrame:
+    """The chunks (document_id, seq, heading, content, embedding, signature, dim) after the writes: a written document's
+    old chunks go, its new text is cut and embedded; the chunks of other documents stay."""
+    from loomlake.functions import extensions as ext
+    from loomlake.functions.pandas_text import chunk_markdown
+
+    own = ext.HashEmbedder(64)
+    docs = op.upsert(writes, ["namespace", "doc_key"], "updated_at", ["document_id", "created_at"]).select("document_id", "content")
+    cut = docs.select("document_id", F.explode(chunk_markdown(tokens)("content")).alias("c")).select("document_id", F.col("c.index").alias("seq"), "c.heading", "c.content")
+    new = cut.withColumn("embedding", ext.embedded(own)("content")).withColumns({"signature": F.lit(own.signature()), "dim": F.lit(own.dims)})
+    return op.without(old, docs, ["document_id"]).unionByName(new)
+
+
+@query("upsert_chunks", ["doc_writes"])
+def upsert_chunks(writes: DataFrame) -> DataFrame:
+    """Chunks of a first version for all documents, then of the writes."""
+    stale = writes.select("document_id", F.lit(0).alias("seq"), F.lit("").alias("heading"), F.lit("old").alias("content"), F.array(F.lit(0.0)).alias("embedding"), F.lit("old").alias("signature"), F.lit(1).alias("dim"))
+    now = rechunked(writes, stale.distinct())
+    return now.select("document_id", "seq", "heading", F.md5("content").alias("h"), F.size("embedding").alias("dims"), "signature")
 
 
 @query("upsert_doc_light", ["doc_writes"], DOC + " select namespace, doc_key, first_id as document_id, first_at as created_at, title, priority, updated_at from r where rn = 1")
@@ -253,10 +273,12 @@ def content_dedupe(docs: DataFrame) -> DataFrame:
     return keyed.groupBy("content_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("sync_dedupe", ["kv"], "select k, min(updated_at) as first_seen, count(*) as n from kv where updated_at > 100 and k not in (select k from kv where updated_at <= 20) group by k")
+@query("sync_dedupe", ["kv"], """with old as (select namespace, max(updated_at) as cursor, arg_max(k, updated_at) as last_seen from kv where updated_at <= 60 group by 1), new as (select * from kv where updated_at > 100 and updated_at <= 2000),
+ head as (select namespace, arg_max(k, updated_at) as newest from new group by 1), live as (select h.namespace, coalesce(cursor, -1) as cursor from head h left join old using (namespace) where last_seen is null or last_seen <> newest)
+ select namespace, k, min(updated_at) as first_seen, count(*) as n from new join live using (namespace) where updated_at > cursor and (namespace, k) not in (select namespace, k from kv where updated_at <= 60) group by 1, 2""")
 def sync_dedupe(kv: DataFrame) -> DataFrame:
-    synced = kv.where("updated_at <= 20").select("k")
-    return op.without(kv.where("updated_at > 100"), synced, ["k"]).groupBy("k").agg(F.min("updated_at").alias("first_seen"), F.count("*").alias("n"))
+    synced, items = kv.where("updated_at <= 60"), kv.where("updated_at > 100 and updated_at <= 2000")
+    return op.unsynced(items, synced, "namespace", "k", "updated_at").groupBy("namespace", "k").agg(F.min("updated_at").alias("first_seen"), F.count("*").alias("n"))
 
 
 @query("merge_entities", ["entity_index"], "select entity_kind, lower(surface) as surface, node_id, max(score) as importance, count(*) as n from entity_index group by 1, 2, 3")

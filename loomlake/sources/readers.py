@@ -45,6 +45,14 @@ def split_messages(markdown: Column) -> Column:
     return F.filter(F.transform(F.split(markdown, r"\n(?:---\n|(?=#{2,3} ))"), lambda p: F.trim(p)), lambda p: p != "")
 
 
+def verified_messages(markdown: Column, subjects: Column) -> Column:
+    """The parts of a response that belong to messages of known subjects, in order; null if their numbers differ or a
+    part doesn't name its subject, for then no part can be trusted."""
+    parts = split_messages(markdown)
+    named = F.zip_with(parts, subjects, lambda p, s: F.contains(F.lower(p), F.lower(s)))
+    return F.when((F.size(parts) == F.size(subjects)) & F.forall(named, lambda x: F.coalesce(x, F.lit(False))), parts)
+
+
 def write_if_new(rows: DataFrame, path: str) -> DataFrame:
     """Writes once; a later call leaves the files alone. The result is what is stored, with whether each digest holds."""
     rows.withColumn("sha", F.sha2("content", 256)).write.mode("ignore").parquet(path)
