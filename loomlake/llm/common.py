@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,22 +46,45 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of stored() tables, by the scratch() blocks that are open.
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stored inside go at the end, but for those that the block takes off the list; nothing lazy may read them
+    any more. A block that fails leaves them for a look."""
+    own: list[str] = []
+    _made.append(own)
+    try:
+        yield own
+    except BaseException:
+        _made.pop()
+        raise
+    _made.pop()
+    for at in own:
+        _remove(spark, at)
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here and lost executors cost nothing."""
     at = place(df.sparkSession, name)
     df.write.parquet(at)
+    if _made:
+        _made[-1].append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def discard(df: DataFrame) -> None:
     """Removes the files of a stored() table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if root.startswith(("file:", "/", "hdfs:", "s3", "viewfs:", "gs:", "abfs")):
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(df.sparkSession, root)
 
 
 def fresh(name: str, taken: Sequence[str]) -> str:

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import corpus_pipeline
 from loomlake.llm import queries, simhash, toxicity
-from loomlake.llm.common import stored
+from loomlake.llm.common import shared_dir, stored
 from tests.llm.test_bpe import PLAIN
 from tests.llm.test_secrets import plain_base
 from tests.llm.test_simhash import plain_fingerprint
@@ -54,6 +55,14 @@ def test_stages_against_brute_force(spark):
         assert list(r.ids) == PLAIN.encode_ordinary(texts[r.doc_id]) and r.decodes and r.n_tokens == len(r.ids)
 
 
+def test_run_leaves_one_copy(spark, sf_dir):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    rows = corpus_pipeline.run(spark, sf_dir).count()
+    left = [p.name for p in set(folder.iterdir()) - before]
+    assert rows and len(left) == 1 and left[0].startswith("pipeline-3-")
+
+
 def test_whole_run_agrees_with_itself(spark, sf_dir):
     a, b = (sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) for _ in range(2))
     assert a and a == b
