@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import bpe, mixing, queries, secrets, simhash, toxicity
-from loomlake.llm.common import documents, fresh, spread, stored
+from loomlake.llm.common import documents, fresh, scratch, spread, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written as Parquet and read as the next one's documents."""
-    docs = spread(documents(spark, sf_dir))
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{i}-{name}")
-    return docs
+    """The stages applied to documents; each result is written as Parquet and read as the next one's documents.
+
+    What a stage wrote for itself goes when its result is written, and a result goes when the next one is: the shared
+    folder never holds more than two copies of the corpus, and the last one stays for the lazy last stage."""
+    docs, before = spread(documents(spark, sf_dir)), None
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{i}-{name}")
+            before, last = made.pop(), before
+            if last:
+                made.append(last)
+    return STAGES[-1][1](spark, docs, sf_dir)
