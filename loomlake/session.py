@@ -30,6 +30,13 @@ def local_session(app: str = "loomlake", cores: str | int = 8, partitions: int =
     return spark
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where the scan has fewer splits than there are cores (one file of one row group, say); a
+    scan of many splits, so any large table, stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; only a local session without the setting gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
