@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm.bpe import gather
-from loomlake.llm.common import blocks, byte_texts, discard, in_arrow, shuffle_partitions, stored, trim
+from loomlake.llm.common import byte_texts, discard, in_arrow, shuffle_partitions, stored, trim
 
 MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 18
-CACHED_PIECES = 100_000
-TEXT_BYTES = 2 << 20
+CACHED_PIECES = 300_000
+#: Texts that are encoded together: the more of them, the fewer words there are to look up.
+TEXT_BYTES = 8 << 20
 END = 1
 #: Lower-case letters of ASCII and Latin-1, all composed: a run of them is one piece for the tokenizer.
 LETTERS = "a-zß-öø-ÿ"
@@ -182,15 +183,24 @@ def _encoded(tokenizer: WordTokenizer):
         hist = [some.astype("<u2").tobytes() + counts[some].astype("<u4").tobytes(), *[None] * (len(own) - 1)]
         return pa.RecordBatch.from_arrays([own, rows, pa.array(hist, pa.binary())], ["id", "tokens", "hist"])
 
+    def flushed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        out = rows_of(*(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1)))
+        held.clear()
+        trim()
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         was = gc.isenabled()
         gc.disable()  # the cache holds many live strings, and nothing here makes cycles
         try:
+            held: list[pa.RecordBatch] = []
             for batch in batches:
-                for lo, hi in blocks(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), TEXT_BYTES):
-                    yield rows_of(batch.column(0)[lo:hi], batch.column(1)[lo:hi])
-                del batch
-                trim()
+                if batch.num_rows:
+                    held.append(batch)
+                if sum(b.nbytes for b in held) >= TEXT_BYTES:
+                    yield flushed(held)
+            if held:
+                yield flushed(held)
         finally:
             if was:
                 gc.enable()
